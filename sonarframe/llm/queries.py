@@ -6,30 +6,62 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonarframe.llm import exact_dedup, substring_dedup
+from sonarframe.llm import chat, decontaminate, exact_dedup, language_id, near_dedup, packing, quality, substring_dedup, toxicity, url_filters
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(_table(spark, sf_dir))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digest(_docs(spark, sf_dir))
+    return substring_dedup.digest(_table(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(_table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(spark, _table(spark, sf_dir, "conversations"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.passages(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.digest(_docs(spark, sf_dir))
+    return exact_dedup.digest(_table(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op3_substring_dedup": op3_substring_dedup,
-        "op10_exact_dedup": op10_exact_dedup,
-    }
+    found = (op1_quality, op2_language_id, op3_substring_dedup, op4_packing, op5_near_dedup, op6_url_filters, op7_toxicity, op8_chat, op9_decontaminate, op10_exact_dedup)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_substring_dedup": substring_dedup.ORACLE,
+        "op5_near_dedup": near_dedup.ORACLE,
+        "op8_chat": chat.ORACLE,
         "op10_exact_dedup": exact_dedup.ORACLE,
     }

@@ -24,12 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonarframe.llm import keyfilter
 from sonarframe.llm import textnum as N
 from sonarframe.llm.shared import drop, id_text, table
 
 WINDOW, KMER = 50, 16
-#: Bits in the filter that selects segments at branches; its size is fixed, and false positives only add work.
-FILTER_BITS = 1 << 24
 _POSITION_BITS = 24
 
 SEGMENTS = "doc_id long, kmer long, body long, at long, windows int"
@@ -65,10 +64,6 @@ def _edges(part: N.Slice, window: int, k: int):
     return kmers[chosen[heads]], body, first, counts, doc[heads], sums
 
 
-def _filter_slot(kmer: np.ndarray, body: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    return N.mix(kmer * np.uint64(3) ^ body ^ N.mix(doc.astype(np.uint64))) & np.uint64(FILTER_BITS - 1)
-
-
 def _segments(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,7 +83,7 @@ def _segments(window: int, k: int):
 
 def _branch_windows(bits, window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(bits.value, dtype=np.uint8), bitorder="little").view(bool)
+        wanted = keyfilter.Filter(bits.value)
         for batch in batches:
             ids = batch.column("doc_id")
             id_values = ids.to_numpy(zero_copy_only=False)
@@ -97,7 +92,7 @@ def _branch_windows(bits, window: int, k: int):
                 if found is None:
                     continue
                 kmer, body, first, counts, doc, sums = found
-                keep = wanted[_filter_slot(kmer, body, id_values[part.row + doc].astype(np.int64).view(np.uint64))]
+                keep = wanted.maybe([kmer, body, id_values[part.row + doc]])
                 if not keep.any():
                     continue
                 at, n = first[keep], counts[keep]
@@ -111,21 +106,6 @@ def _branch_windows(bits, window: int, k: int):
     return run
 
 
-def _bitmap(rows: DataFrame) -> bytes:
-    """A fixed-size bitmap of (kmer, body, doc) keys: built on executors, 4 KB a piece, FILTER_BITS in all."""
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kmer, body, doc = (b.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("kmer", "body", "doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(_filter_slot(kmer, body, doc).astype(np.int64))], ["slot"])
-
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    piece = rows.select("kmer", "body", "doc_id").mapInArrow(slots, "slot long")
-    for row in piece.groupBy((F.col("slot") / 32768).cast("long").alias("piece")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")).toLocalIterator():
-        out[row.piece * 4096 : row.piece * 4096 + len(row.bits)] = np.frombuffer(row.bits, dtype=np.uint8)
-    return out.tobytes()
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = KMER) -> DataFrame:
     """Word spans (doc_id, spans array<struct<at,end>>) covered by windows that also start in a document with a smaller id.
 
@@ -141,7 +121,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = segments.join(paths, (F.col("kmer") == F.col("k")) & (F.col("body") == F.col("b")) & (F.col("doc_id") > F.col("first"))).select("doc_id", "at", (F.col("at") + F.col("windows") + (window - 1)).alias("end"))
 
     ends = nodes.join(branches, "kmer", "left_semi").select("kmer", "body", F.col("first").alias("doc_id"))
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(ends))
+    bits = docs.sparkSession.sparkContext.broadcast(keyfilter.build(ends))
     windows = table(source.mapInArrow(_branch_windows(bits, window, k), WINDOWS), "windows")
     earliest = windows.groupBy("kmer", "words").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first")
     earliest = earliest.select(F.col("kmer").alias("k"), F.col("words").alias("w"), "first")
