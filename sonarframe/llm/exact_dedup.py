@@ -24,7 +24,8 @@ from sonarframe.llm.shared import drop, named, shared_dir, table, work_path
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STREAM_SETTINGS = {PROVIDER: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.metricsEnabled": "false"}
+#: Memory bounded over all stores of an executor; no space allocated ahead for the log files of many small stores.
+STREAM_SETTINGS = {PROVIDER: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
 def _sha256(text: Column) -> Column:
