@@ -1,0 +1 @@
+"""sonarframe: signal analytics over Spark DataFrames."""
