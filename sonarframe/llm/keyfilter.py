@@ -53,3 +53,16 @@ class Filter:
 
     def maybe(self, columns: list[np.ndarray]) -> np.ndarray:
         return self.bits[slots(columns)]
+
+
+def some(docs: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows of ``docs`` whose key may be in ``keys`` (one long column): what is left to shuffle before a join with them."""
+    bits = docs.sparkSession.sparkContext.broadcast(build(keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filter(bits.value)
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(known.maybe([batch.column(key).to_numpy(zero_copy_only=False)])))
+
+    return docs.where(F.col(key).isNotNull()).mapInArrow(run, docs.schema)

@@ -98,9 +98,9 @@ class Space:
         return np.clip(out, 0, 1)
 
 
-def fit(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> Space | None:
-    """From (doc_id, text, label); None without rows."""
-    chosen = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
+def fit(docs: DataFrame, known: DataFrame, max_sample: int = MAX_SAMPLE) -> Space | None:
+    """From docs (doc_id, text) and known (doc_id, label), of which a sample of bounded size is broadcast; None without rows."""
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +109,7 @@ def fit(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> Space | None:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(raw)), batch.column("label").slice(row, len(raw)), pa.array([r.astype(np.float32).tobytes() for r in raw], pa.binary())], ["doc_id", "label", "raw"])
                 row += len(raw)
 
-    rows = labelled.join(chosen, "doc_id", "left_semi").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, raw binary").toArrow()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, raw binary").toArrow()
     if not rows.num_rows:
         return None
     by = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
@@ -126,7 +126,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     rows = id_text(docs, id_col, text_col)
     known = labels.select(named(id_col).cast("long").alias("doc_id"), named(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    space = docs.sparkSession.sparkContext.broadcast(fit(rows.where(~held_out(F.col("doc_id"))).join(known, "doc_id")))
+    space = docs.sparkSession.sparkContext.broadcast(fit(rows, known.where(~held_out(F.col("doc_id")))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
