@@ -74,18 +74,18 @@ DRIVES = ("tape", "tube", "diode", "fuzz")
 
 
 def drive(x, kind: str, amount_percent=0.0) -> Column:
-    """Stateless wave shapers at gain 1 + 5 * amount."""
-    g = 1 + 5 * col(amount_percent) / 100
-    y = col(x) * g
-    if kind == "tape":
-        return F.tanh(y) / F.tanh(g)
-    if kind == "tube":  # softer above than below
-        return F.when(y >= 0, 1 - F.exp(-y)).otherwise(-(1 - F.exp(y * 0.8)) / 0.8)
-    if kind == "diode":
-        return F.when(y >= 0, y / (1 + y)).otherwise(y / (1 - 0.3 * y))
-    if kind == "fuzz":
-        return F.signum(y) * (1 - F.exp(-3 * F.abs(y)))
-    return col(x)
+    """Stateless wave shapers at gain 1 + 5 * amount, mixed in by the amount."""
+    x, d = col(x), clamp(col(amount_percent) / 100, 0.0, 1.0)
+    g = 1 + 5 * d
+    if kind == "tube":  # a bias makes it softer on one side
+        wet = F.tanh((x + 0.2 * d) * g) - F.tanh(0.2 * d * g)
+    elif kind == "diode":
+        wet = clamp(x * g, -1.0, 1.0)
+    elif kind == "fuzz":
+        wet = F.when(x > 0, F.tanh(3 * g * x)).otherwise(clamp(x * g, -1.0, 0.0))
+    else:
+        wet = F.tanh(x * g)
+    return F.when(d <= 1e-4, x).otherwise((1 - d) * x + d * wet)
 
 
 def crunch(samples, bits: int = 16, rate_divide: int = 1) -> Column:
@@ -93,7 +93,7 @@ def crunch(samples, bits: int = 16, rate_divide: int = 1) -> Column:
     x = col(samples)
     if rate_divide > 1:
         x = F.transform(x, lambda v, i: F.get(x, (i - i % rate_divide).cast("int")))
-    return F.transform(x, lambda v: clamp(quantise(v, bits), -1.0, 1.0)) if bits < 16 else x
+    return F.transform(x, lambda v: quantise(v, bits)) if bits < 16 else x
 
 
 def rotate(samples, by) -> Column:

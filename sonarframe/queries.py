@@ -598,17 +598,17 @@ def _signal() -> Column:
 
 
 # 293, 259
-@_query(f"WITH m AS (SELECT vec_id, {_V} AS e FROM embeddings), h AS (SELECT vec_id, list_transform(range(0, len(e)), lambda i: e[i - i % 3 + 1]) AS h FROM m), q AS (SELECT vec_id, list_transform(h, lambda v: greatest(-1, least(1, floor(v / 0.03125 + 0.5) * 0.03125))) AS q FROM h) SELECT vec_id, list_sum(q) AS total, q[7] AS q6, list_max(q) AS top FROM q")
+@_query(f"WITH m AS (SELECT vec_id, {_V} AS e FROM embeddings), h AS (SELECT vec_id, list_transform(range(0, len(e)), lambda i: e[i - i % 3 + 1]) AS h FROM m), q AS (SELECT vec_id, list_transform(h, lambda v: floor(v / 0.03125 + 0.5) * 0.03125) AS q FROM h) SELECT vec_id, list_sum(q) AS total, q[7] AS q6, list_max(q) AS top FROM q")
 def crunch_quantize(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", levels.crunch(_signal(), 6, 3).alias("q"))
     return rows.select("vec_id", F.aggregate("q", F.lit(0.0), lambda a, b: a + b).alias("total"), F.get("q", F.lit(6)).alias("q6"), F.array_max("q").alias("top"))
 
 
 # 299, 302, 316, 292 (tape)
-@_query(f"WITH m AS (SELECT vec_id, {_V}[1] AS v FROM embeddings) SELECT vec_id, round(tanh(v * 2) / tanh(2.0::DOUBLE), 6) AS soft, round(tanh(v * 3.5) / tanh(3.5::DOUBLE), 6) AS tape, round(CASE WHEN abs(v * 4) <= 0.98 THEN v * 4 ELSE sign(v) * (0.98 + 0.02 * tanh((abs(v * 4) - 0.98) / 0.02)) END, 6) AS lim FROM m")
+@_query(f"WITH m AS (SELECT vec_id, {_V}[1] AS v FROM embeddings) SELECT vec_id, round(tanh(v * 2) / tanh(2.0::DOUBLE), 6) AS soft, round(0.5 * v + 0.5 * tanh(v * 3.5), 6) AS tape, round(0.5 * v + 0.5 * (tanh((v + 0.1) * 3.5) - tanh(0.35::DOUBLE)), 6) AS tube, round(0.5 * v + 0.5 * CASE WHEN v > 0 THEN tanh(v * 10.5) ELSE greatest(-1, least(0, v * 3.5)) END, 6) AS fuzz, round(CASE WHEN abs(v * 4) <= 0.98 THEN v * 4 ELSE sign(v) * (0.98 + 0.02 * tanh((abs(v * 4) - 0.98) / 0.02)) END, 6) AS lim FROM m")
 def drive_shape(spark, sf_dir):
     v = F.get(_signal(), F.lit(0))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", r6(levels.soft_saturate(v, 2.0)).alias("soft"), r6(levels.drive(v, "tape", 50.0)).alias("tape"), r6(levels.soft_limit(v * 4)).alias("lim"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", r6(levels.soft_saturate(v, 2.0)).alias("soft"), r6(levels.drive(v, "tape", 50.0)).alias("tape"), r6(levels.drive(v, "tube", 50.0)).alias("tube"), r6(levels.drive(v, "fuzz", 50.0)).alias("fuzz"), r6(levels.soft_limit(v * 4)).alias("lim"))
 
 
 # 250, 129, 251
