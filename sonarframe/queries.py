@@ -640,3 +640,158 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# kernels on signals: no SQL states them, so they are checked by invariants in the tests
+
+
+def _tones(spark: SparkSession, sf_dir: str, repeat: int = 64) -> DataFrame:
+    """Vectors as short signals: each repeated to 4,096 samples and windowed by a decay, at 8 kHz."""
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    long = F.flatten(F.array_repeat(x, repeat))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.transform(long, lambda v, i: (v * F.exp(-(i % 1024) / 300.0) * 0.5).cast("float")).alias("signal"))
+
+
+# 10 to 16
+@_query()
+def wav_roundtrip(spark, sf_dir):
+    from sonarframe.sources import codec
+
+    rows = _tones(spark, sf_dir)
+    pack = F.pandas_udf(lambda s: s.map(lambda x: codec.encode_wav([x], 8000, 24, [0, 100])), "binary")
+    files = rows.select(F.concat(F.col("vec_id").cast("string"), F.lit(".wav")).alias("path"), pack("signal").alias("content"))
+    return codec.decode(files).select("path", "sample_rate", F.size(F.get("channels", F.lit(0))).alias("frames"), "error")
+
+
+# 87, 88, 90, 114 to 121, 124
+@_query()
+def signal_features(spark, sf_dir):
+    from sonarframe.functions import udf
+
+    return _tones(spark, sf_dir).select("vec_id", udf.features(8000)("signal").alias("f")).select("vec_id", "f.*")
+
+
+@_query()
+def signal_onsets(spark, sf_dir):
+    from sonarframe.functions import udf
+
+    return _tones(spark, sf_dir).select("vec_id", udf.onsets(8000)("signal").alias("onsets"), udf.phrases(8000, {"shortest": 0.1})("signal").alias("phrases"), F.size(udf.one_shots(8000)("signal")).alias("hits"))
+
+
+# 75, 146
+@_query()
+def dedupe_greedy(spark, sf_dir):
+    import pandas as pd
+
+    from sonarframe.kernels import analysis
+
+    rows = _table(spark, sf_dir, "embeddings").select("label", "vec_id", aggregates.fingerprint("embedding").alias("fingerprint"), F.col("vec_id").cast("double").alias("start"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)).alias("peak"))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        kept = analysis.dedupe_hits(frame.sort_values("vec_id").to_dict("records"))
+        return pd.DataFrame([{"label": h["label"], "vec_id": h["vec_id"], "peak": h["peak"]} for h in kept], columns=["label", "vec_id", "peak"])
+
+    return rows.groupBy("label").applyInPandas(run, "label int, vec_id long, peak double")
+
+
+# 255 to 289: one query for each engine
+def _stretch_query(name: str, character: str):
+    def run(spark, sf_dir):
+        from sonarframe.functions import udf
+
+        made = _tones(spark, sf_dir).select("vec_id", udf.stretched(8000, 1.5, character)("signal").alias("y"))
+        return made.select("vec_id", F.size("y").alias("samples"), F.round(F.array_max(F.transform("y", F.abs)), 4).alias("peak"))
+
+    run.__name__ = f"stretch_{name}"
+    _query()(run)
+
+
+for _name, _character in (("wsola", "clean"), ("vocoder", "transient"), ("granular", "scatter"), ("repeat", "stutter"), ("freeze", "frozen"), ("smear", "spectral"), ("cyclic", "cyclic"), ("varispeed", "tape")):
+    _stretch_query(_name, _character)
+
+
+# 289
+@_query()
+def pitch_shift(spark, sf_dir):
+    from sonarframe.functions import udf
+
+    made = _tones(spark, sf_dir).select("vec_id", udf.pitched(8000, 5.0, "clean")("signal").alias("y"))
+    return made.select("vec_id", F.size("y").alias("samples"))
+
+
+# 291 to 301
+@_query()
+def output_stages(spark, sf_dir):
+    from sonarframe.functions import udf
+    from sonarframe.kernels import stages
+
+    rows = _tones(spark, sf_dir, 16)
+    columns = [F.round(F.array_max(F.transform(udf.staged(8000, m, 100, 100, 7)("signal"), F.abs)), 4).alias(m) for m in stages.STAGES]
+    return rows.select("vec_id", *columns)
+
+
+# 348 to 351 and the registered primitives
+@_query()
+def primitive_bank(spark, sf_dir):
+    from sonarframe.functions import udf
+    from sonarframe.kernels import primitives
+
+    columns = [F.round(F.array_max(F.transform(udf.primitive(k, 8000)("signal"), F.abs)), 4).alias(k) for k in primitives.keys()]
+    return _tones(spark, sf_dir, 16).select("vec_id", *columns)
+
+
+# 200 to 216
+@_query()
+def conform_plan(spark, sf_dir):
+    from sonarframe.plans import conform
+
+    size = F.col("p_size")
+    loops = _table(spark, sf_dir, "part").select(
+        "p_partkey", (60.0 + size * 2).alias("bpm"), (size % 7 == 0).alias("bpm_manual"), (F.col("p_retailprice") / 100).alias("duration"), music.note_name(size).alias("key"), F.when(size % 2 == 0, "minor").otherwise("major").alias("mode"),
+        F.when(size % 5 == 0, "oneshot").otherwise("loop").alias("role"), (size % 3 != 0).alias("tempo_fit"), (size % 4 != 0).alias("pitch_fit"), F.when(size % 6 == 0, "tape").otherwise("inherit").alias("method"),
+    )
+    p = conform.plan(loops, 126.0, "E", "minor").select("p_partkey", "plan.*")
+    return p.select("p_partkey", F.round("tempo.ratio", 6).alias("ratio"), "tempo.reason", "tempo.applied", F.round("pitch.semitones", 6).alias("semitones"), F.col("pitch.reason").alias("pitch_reason"), "changes_audio", F.array_join("warnings", ",").alias("warnings"))
+
+
+# 303 to 311, 323 to 330 and the remix operations
+@_query()
+def remix_recipes(spark, sf_dir):
+    from sonarframe.plans import remix
+
+    def make(seed):
+        return seed.map(lambda s: remix.pattern(remix.generate(remix.Grid(64, 4, 16), int(s), list(remix.STYLES)[s % len(remix.STYLES)])))
+
+    return _table(spark, sf_dir, "part").select("p_partkey", F.pandas_udf(make, "string")("p_partkey").alias("pattern"))
+
+
+# 343 to 347
+@_query()
+def signal_graphs(spark, sf_dir):
+    from sonarframe.kernels import primitives
+
+    def make(seed):
+        return seed.map(lambda s: "; ".join(primitives.describe_graph(primitives.build_graph(int(s)))))
+
+    return _table(spark, sf_dir, "part").select("p_partkey", F.pandas_udf(make, "string")("p_partkey").alias("graph"))
+
+
+# 331 to 342
+@_query()
+def fx_bank(spark, sf_dir):
+    import json
+
+    import numpy as np
+
+    from sonarframe.kernels import analysis
+    from sonarframe.plans import fx
+
+    def make(signals):
+        def one(x):
+            x = np.asarray(x, dtype=np.float32)
+            found = analysis.analyse_break(x, 8000, 120.0)
+            return json.dumps([fx.words(r) for r in fx.plan_bank(fx.pools(found, x, 8000), found["grid"]["beat"], 8, 0.5)])
+
+        return signals.map(one)
+
+    return _tones(spark, sf_dir, 256).select("vec_id", F.pandas_udf(make, "string")("signal").alias("bank"))
