@@ -99,6 +99,16 @@ class Encoder:
         return np.insert(ids, ends, END_ID), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder for a tokenizer: what it has learned serves the worker's next tasks too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path if Path(path).exists() else default_tokenizer())
+    return _ENCODERS[path]
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
 
@@ -107,11 +117,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path if Path(path).exists() else default_tokenizer())
+        known = encoder(path)
         for batch in batches:
             docs = batch.column("doc_id")
             for part in N.slices(batch.column("text"), limit=1 << 20):
-                ids, offsets = encoder.ids(part)
+                ids, offsets = known.ids(part)
                 total = np.diff(offsets)
                 count = -(-total // capacity)
                 doc = np.repeat(np.arange(len(part)), count)
