@@ -53,46 +53,52 @@ def supports(role, capability: str) -> Column:
     return role.isin(*(r for r, c in ROLES.items() if capability in c))
 
 
-def plan_tempo(bpm, manual, duration, target_bpm, fit, role, max_ratio, feel="normal", snap: bool = True, octave: bool = True) -> Column:
-    """struct(source_bpm, target_bpm, ratio, applied, reason, auto_octave, snapped, extreme, clamped, warnings)."""
-    detected, wanted = tempo.positive_or_null(bpm), tempo.positive_or_null(target_bpm)
-    target = tempo.feel_target(wanted, F.lit(feel) if isinstance(feel, str) else feel)
-    fixed = F.when(~F.coalesce(col(manual), F.lit(False)), tempo.better_octave(detected, wanted)) if octave else F.lit(None).cast("double")
-    read = F.coalesce(fixed, detected)
-    snapped = tempo.loop_snap(duration, read).bpm if snap else F.lit(None).cast("double")
-    source = F.coalesce(snapped, read)
-    raw = tempo.ratio_for(source, target)
-    ratio = F.greatest(F.lit(0.05), F.least(col(max_ratio), raw))
+def with_tempo(loops: DataFrame, target_bpm: float | None, feel: str = "normal", snap: bool = True, octave: bool = True) -> DataFrame:
+    """``loops`` with ``__t``: struct(source_bpm, target_bpm, ratio, applied, reason, auto_octave, snapped, extreme, clamped, warnings).
+
+    Steps are columns of their own: inlined, each would repeat the trees of the ones before it.
+    """
+    wanted = tempo.positive_or_null(F.lit(target_bpm).cast("double"))
+    loops = loops.withColumn("__bpm", tempo.positive_or_null("bpm")).withColumn("__wanted", wanted).withColumn("__target", tempo.feel_target("__wanted", F.lit(feel)))
+    manual = F.coalesce(F.col("bpm_manual"), F.lit(False))
+    loops = loops.withColumn("__fixed", F.when(~manual, tempo.better_octave("__bpm", "__wanted")) if octave else F.lit(None).cast("double"))
+    loops = loops.withColumn("__read", F.coalesce("__fixed", "__bpm"))
+    loops = loops.withColumn("__snap", tempo.loop_snap("duration", "__read").bpm if snap else F.lit(None).cast("double"))
+    loops = loops.withColumn("__source", F.coalesce("__snap", "__read")).withColumn("__raw", tempo.ratio_for("__source", "__target")).withColumn("__hint", tempo.better_octave("__source", "__target"))
+    loops = loops.withColumn("__ratio", F.greatest(F.lit(0.05), F.least(F.col("__m.max_ratio"), F.col("__raw"))))
+    ratio, raw = F.col("__ratio"), F.col("__raw")
     reason = (
-        F.when(~supports(role, "fit_tempo"), "not applicable to this input type").when(~F.coalesce(col(fit), F.lit(False)), "tempo fitting off")
-        .when(source.isNull(), "no source BPM").when(target.isNull(), "no target BPM").when(F.abs(ratio - 1) <= 1e-6, "already at the target tempo")
+        F.when(~supports("role", "fit_tempo"), "not applicable to this input type").when(~F.coalesce(F.col("tempo_fit"), F.lit(False)), "tempo fitting off")
+        .when(F.col("__source").isNull(), "no source BPM").when(F.col("__target").isNull(), "no target BPM").when(F.abs(ratio - 1) <= 1e-6, "already at the target tempo")
     )
-    works = reason.isNull()
-    extreme = works & ((raw < 0.5) | (raw > 2))
-    hint = tempo.better_octave(source, target)
-    warnings = F.filter(F.array(F.when(works & hint.isNotNull(), "octave-suggestion").when(extreme, "extreme-stretch"), F.when(works & (F.abs(ratio - raw) > 1e-6), "ratio-clamped")), lambda w: w.isNotNull())
-    return F.struct(source.alias("source_bpm"), target.alias("target_bpm"), F.when(works, ratio).otherwise(1.0).alias("ratio"), works.alias("applied"), reason.alias("reason"), fixed.isNotNull().alias("auto_octave"), snapped.isNotNull().alias("snapped"), extreme.alias("extreme"), (works & (F.abs(ratio - raw) > 1e-6)).alias("clamped"), warnings.alias("warnings"))
-
-
-def plan_pitch(key, mode, target_key, target_mode, pitch_enabled, fit, role, ratio, applied, preserves_pitch, strategy: str = "relative") -> Column:
-    """struct(semitones, drift, resulting_shift, applied, reason, relative_used, mode_mismatch, result_key, warnings)."""
-    drift = F.when(~col(preserves_pitch) & col(applied), levels.ratio_to_semitones(1 / col(ratio))).otherwise(0.0)
-    t = music.transposition(key, mode, F.when(col(pitch_enabled), col(target_key)), target_mode, strategy)
-    off = F.when(~supports(role, "fit_pitch"), "not applicable to this input type").when(~F.coalesce(col(fit), F.lit(False)), "pitch fitting off").when(~t.ok, t.reason)
-    wanted = t.semitones
-    stage = music.clamp_semitones(wanted - drift)
-    works = off.isNull()
+    loops = loops.withColumn("__why", reason)
+    works = F.col("__why").isNull()
+    extreme, clamped = works & ((raw < 0.5) | (raw > 2)), works & (F.abs(ratio - raw) > 1e-6)
+    warnings = F.filter(F.array(F.when(works & F.col("__hint").isNotNull(), "octave-suggestion").when(extreme, "extreme-stretch"), F.when(clamped, "ratio-clamped")), lambda w: w.isNotNull())
+    whole = F.struct(F.col("__source").alias("source_bpm"), F.col("__target").alias("target_bpm"), F.when(works, ratio).otherwise(1.0).alias("ratio"), works.alias("applied"), F.col("__why").alias("reason"), F.col("__fixed").isNotNull().alias("auto_octave"), F.col("__snap").isNotNull().alias("snapped"), extreme.alias("extreme"), clamped.alias("clamped"), warnings.alias("warnings"))
+    return loops.withColumn("__t", whole).drop("__bpm", "__wanted", "__target", "__fixed", "__read", "__snap", "__source", "__raw", "__hint", "__ratio", "__why")
+
+
+def with_pitch(loops: DataFrame, target_key: str | None, target_mode: str | None, pitch_enabled: bool = True, strategy: str = "relative") -> DataFrame:
+    """``loops`` (with ``__m`` and ``__t``) with ``__p``: struct(semitones, drift, resulting_shift, applied, reason, relative_used, mode_mismatch, result_key, warnings)."""
+    loops = loops.withColumn("__drift", F.when(~F.col("__m.preserves_pitch") & F.col("__t.applied"), levels.ratio_to_semitones(1 / F.col("__t.ratio"))).otherwise(0.0))
+    key = F.lit(target_key if pitch_enabled else None).cast("string")
+    loops = loops.withColumn("__x", music.transposition("key", "mode", key, F.lit(target_mode).cast("string"), strategy))
+    off = F.when(~supports("role", "fit_pitch"), "not applicable to this input type").when(~F.coalesce(F.col("pitch_fit"), F.lit(False)), "pitch fitting off").when(~F.col("__x.ok"), F.col("__x.reason"))
+    loops = loops.withColumn("__off", off).withColumn("__stage", music.clamp_semitones(F.col("__x.semitones") - F.col("__drift")))
+    works, wanted, stage, drift, mismatch = F.col("__off").isNull(), F.col("__x.semitones"), F.col("__stage"), F.col("__drift"), F.col("__x.mode_mismatch")
     still = works & (F.abs(wanted) <= 1e-6) & (F.abs(stage) <= 1e-6)
-    reason = F.coalesce(off, F.when(still & t.mode_mismatch, "same root, other mode").when(still, "already in the target key"))
-    warnings = F.filter(F.array(F.when(~works & (F.abs(drift) > 0.01), "method-pitch-drift"), F.when(works & t.mode_mismatch, "mode-mismatch"), F.when(works & (F.abs(wanted - drift) > music.PITCH_LIMIT), "pitch-clamped")), lambda w: w.isNotNull())
-    return F.struct(F.when(works, stage).otherwise(0.0).alias("semitones"), drift.alias("drift"), (F.when(works, stage).otherwise(0.0) + drift).alias("resulting_shift"), (works & (F.abs(stage) > 1e-6)).alias("applied"), reason.alias("reason"), (works & t.relative_used).alias("relative_used"), (works & t.mode_mismatch).alias("mode_mismatch"), F.when(works, t.result_key).alias("result_key"), warnings.alias("warnings"))
+    reason = F.coalesce("__off", F.when(still & mismatch, "same root, other mode").when(still, "already in the target key"))
+    warnings = F.filter(F.array(F.when(~works & (F.abs(drift) > 0.01), "method-pitch-drift"), F.when(works & mismatch, "mode-mismatch"), F.when(works & (F.abs(wanted - drift) > music.PITCH_LIMIT), "pitch-clamped")), lambda w: w.isNotNull())
+    moved = F.when(works, stage).otherwise(0.0)
+    whole = F.struct(moved.alias("semitones"), drift.alias("drift"), (moved + drift).alias("resulting_shift"), (works & (F.abs(stage) > 1e-6)).alias("applied"), reason.alias("reason"), (works & F.col("__x.relative_used")).alias("relative_used"), (works & mismatch).alias("mode_mismatch"), F.when(works, F.col("__x.result_key")).alias("result_key"), warnings.alias("warnings"))
+    return loops.withColumn("__p", whole).drop("__drift", "__x", "__off", "__stage")
 
 
 def plan(loops: DataFrame, target_bpm: float | None = 120.0, target_key: str | None = "C", target_mode: str | None = "minor", pitch_enabled: bool = True, session_method: str = DEFAULT_METHOD, strategy: str = "relative", feel: str = "normal", align: bool = True) -> DataFrame:
     """``loops`` (bpm, bpm_manual, duration, key, mode, role, tempo_fit, pitch_fit, method) with a ``plan`` struct."""
     loops = loops.withColumn("__m", method(method_key("method", F.lit(session_method))))
-    loops = loops.withColumn("__t", plan_tempo("bpm", "bpm_manual", "duration", F.lit(target_bpm), "tempo_fit", "role", "__m.max_ratio", feel))
-    loops = loops.withColumn("__p", plan_pitch("key", "mode", F.lit(target_key).cast("string"), F.lit(target_mode).cast("string"), F.lit(pitch_enabled), "pitch_fit", "role", "__t.ratio", "__t.applied", "__m.preserves_pitch", strategy))
+    loops = with_pitch(with_tempo(loops, target_bpm, feel), target_key, target_mode, pitch_enabled, strategy)
     alignment = F.struct((F.lit(align) & supports("role", "fit_tempo")).alias("enabled"), F.when(F.col("__t.applied"), F.col("__t.target_bpm")).otherwise(F.col("__t.source_bpm")).alias("output_bpm"))
     whole = F.struct(F.col("__m").alias("method"), F.col("__t").alias("tempo"), F.col("__p").alias("pitch"), alignment.alias("align"), (F.col("__t.applied") | F.col("__p.applied")).alias("changes_audio"), F.concat("__t.warnings", "__p.warnings").alias("warnings"))
     return loops.withColumn("plan", whole).drop("__m", "__t", "__p")
