@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -28,7 +29,12 @@ def signal_udf(f: Callable[[np.ndarray], object], kind: str) -> Callable[..., Co
     def run(x: pd.Series) -> pd.Series:
         return x.map(lambda s: None if s is None else f(_signal(s)))
 
-    return F.pandas_udf(run, kind)
+    def run_struct(x: pd.Series) -> pd.DataFrame:
+        names = [part.split(":")[0] for part in re.findall(r"\w+:[a-z]+", kind)]
+        rows = [(None if s is None else f(_signal(s))) or {} for s in x]
+        return pd.DataFrame([{n: r.get(n) for n in names} for r in rows], columns=names)
+
+    return F.pandas_udf(run_struct if kind.startswith("struct") else run, kind)
 
 
 def envelope(rate: float, window_ms: float = 25, hop_ms: float = 10):

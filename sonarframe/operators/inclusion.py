@@ -31,7 +31,7 @@ def set_all(files: DataFrame, flag: str, value: bool) -> DataFrame:
 
 def none_included(files: DataFrame, condition: Column) -> DataFrame:
     """One row: whether no file meets the condition (true for no files)."""
-    return files.agg(~F.coalesce(F.bool_or(condition), F.lit(False)).alias("none"))
+    return files.agg((~F.coalesce(F.bool_or(condition), F.lit(False))).alias("none"))
 
 
 def active_key(keys, current) -> Column:
