@@ -50,7 +50,7 @@ def count(labelled: DataFrame, order: int = ORDER) -> DataFrame:
                     u, n = np.unique(keys[of == i], return_counts=True)
                     held.setdefault(lang, []).append((u, n))
                     size += len(u)
-            if size > 3_000_000:
+            if size > 1_000_000:
                 yield from merged()
                 held, size = {}, 0
         yield from merged()

@@ -8,10 +8,10 @@ from sonarframe.llm import textnum as N
 
 
 class KeyTable:
-    """Index of each key of ``keys`` (uint64, distinct), -1 for others.  Load is at most a quarter."""
+    """Index of each key of ``keys`` (uint64, distinct), -1 for others.  Load is at most a half."""
 
     def __init__(self, keys: np.ndarray):
-        size = max(1024, 4 << int(max(1, len(keys)) - 1).bit_length())
+        size = max(1024, 2 << int(max(1, len(keys)) - 1).bit_length())
         self.mask = np.uint64(size - 1)
         self.keys = np.zeros(size, dtype=np.uint64)
         self.index = np.full(size, -1, dtype=np.int32)

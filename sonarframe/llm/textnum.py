@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer document is a slice of its own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
@@ -54,7 +54,7 @@ class _Powers:
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
             size = 1 << int(n - 1).bit_length()
-            if size > 8 * SLICE_BYTES:  # one enormous document: not kept
+            if size > 32 * SLICE_BYTES:  # one enormous document: not kept
                 return _powers(self.base, n), _powers(self.inverse, n)
             self.up, self.down = _powers(self.base, size), _powers(self.inverse, size)
         return self.up[:n], self.down[:n]
