@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sonarframe.llm import textnum as N
 from sonarframe.llm.shared import held_out, id_text, named
 
-TERMS, SHAPES, RANK = 2048, 8, 64
+TERMS, SHAPES, RANK = 1024, 8, 64
 #: Labelled rows that are sampled, by hash of the id: what is fitted on and broadcast.
 MAX_SAMPLE = 6144
 NEIGHBOURS, SHARPNESS, BLOCK = 31, 8.0, 256
