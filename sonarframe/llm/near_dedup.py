@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from sonarframe.llm import keyfilter
 from sonarframe.llm import textnum as N
 from sonarframe.llm.graph import components
-from sonarframe.llm.shared import drop, id_text, table
+from sonarframe.llm.shared import drop, id_text, named, table
 
 SHINGLE, SIMILARITY = 5, 0.75
 BANDS, ROWS, BITS = 64, 4, 4
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` of which one document of each component stays, the one with the smallest id."""
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone__")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone__"), "left_anti")
+    return docs.join(gone, named(id_col).cast("long") == F.col("__gone__"), "left_anti")
 
 
 ORACLE = r"""

@@ -45,10 +45,11 @@ def _edges(part: N.Slice, window: int, k: int):
     i = np.arange(n - k + 1)
     kmers = N.span_hash(sums, i, i + k)
     low = np.uint64((1 << _POSITION_BITS) - 1)
-    if n > int(low):  # positions are compared within a window only, so blocks of them may not wrap inside one
-        raise ValueError("a slice holds too many words")
-    least = N.sliding_min((kmers & ~low) | i.astype(np.uint64), window - k + 1)
-    chosen = (least & low).astype(np.int64)
+    chosen = np.empty(n - window + 1, dtype=np.int64)
+    for a in range(0, len(chosen), 1 << (_POSITION_BITS - 1)):  # positions count from the block's start, so they fit in any text
+        block = kmers[a : a + (1 << (_POSITION_BITS - 1)) + window - k]
+        least = N.sliding_min((block & ~low) | np.arange(len(block), dtype=np.uint64), window - k + 1)
+        chosen[a : a + len(least)] = a + (least & low).astype(np.int64)
     lengths = np.diff(part.word_offsets)
     valid = N.ranges(part.word_offsets[:-1], np.maximum(lengths - window + 1, 0))
     if not len(valid):
