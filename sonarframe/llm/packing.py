@@ -31,6 +31,7 @@ CAPACITY, END_ID = 2048, 0
 DEME, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 600, 2, 2, 6, 5
 #: Free tokens in a bin that counts as filled, by level; what isn't filled is packed again.
 FREE = (6, 24)
+_MARK = b"<|"
 #: Distinct words whose tokens a worker keeps.
 MAX_WORDS = 1_500_000
 
@@ -41,6 +42,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """``a`` with room for ``n`` values at least, doubling."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)])
+
+
 class Encoder:
     """Token ids of whole texts, word by word.
 
@@ -56,43 +62,35 @@ class Encoder:
         self._clear()
 
     def _clear(self):
-        self.keys, self.at, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.old, self.new, self.split = KeyTable(self.keys), KeyTable(self.keys), 0
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        got = self.old.find(hashes)
-        miss = np.flatnonzero(got < 0)
-        more = self.new.find(hashes[miss])
-        got[miss] = np.where(more >= 0, more + self.split, -1)
-        return got
+        self.table = KeyTable(np.zeros(0, np.uint64))
+        self.at, self.size, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
 
     def _learn(self, part: N.Slice, hashes: np.ndarray, missing: np.ndarray) -> None:
         keys, first = np.unique(hashes[missing], return_index=True)
-        if len(self.keys) + len(keys) > MAX_WORDS:
+        where = missing[first]
+        if self.table.n + len(keys) > MAX_WORDS:
             self._clear()
-            keys, first = np.unique(hashes, return_index=True)
-            where = first
-        else:
-            where = missing[first]
+            keys, where = np.unique(hashes, return_index=True)
         data = part.data.tobytes()
         words = [data[s:e].decode("utf-8", "replace") for s, e in zip(part.starts[where].tolist(), part.ends[where].tolist())]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.array([len(i) for i in ids], dtype=np.int64)
-        self.at = np.append(self.at, len(self.flat) + np.cumsum(size) - size)
-        self.flat = np.concatenate([self.flat, np.array([t for i in ids for t in i], dtype=np.uint32)])
-        self.size, self.keys = np.append(self.size, size), np.append(self.keys, keys)
-        if len(self.keys) - self.split > max(100_000, self.split // 2):
-            self.split, self.old = len(self.keys), KeyTable(self.keys)
-        self.new = KeyTable(self.keys[self.split :])
+        n, total = self.table.n, int(size.sum())
+        self.at, self.size, self.flat = _room(self.at, n + len(keys)), _room(self.size, n + len(keys)), _room(self.flat, self.used + total)
+        self.at[n : n + len(keys)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(keys)] = size
+        self.flat[self.used : self.used + total] = [t for i in ids for t in i]
+        self.used += total
+        self.table.add(keys)
 
     def ids(self, part: N.Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a slice, each text followed by END_ID; offsets of texts)."""
         hashes = part.word_hashes()
-        index = self._find(hashes)
+        index = self.table.find(hashes)
         missing = np.flatnonzero(index < 0)
         if len(missing):
             self._learn(part, hashes, missing)
-            index = self._find(hashes)
+            index = self.table.find(hashes)
         size = self.size[index]
         ends = np.concatenate([[0], np.cumsum(size)])[part.word_offsets[1:]]
         ids = self.flat[N.ranges(self.at[index], size)]
@@ -121,6 +119,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         for batch in batches:
             docs = batch.column("doc_id")
             for part in N.slices(batch.column("text")):
+                if _MARK not in part.data.tobytes():  # the tokenizer lower-cases all but its special tokens
+                    part.data = N.LOWER[part.data]
                 ids, offsets = known.ids(part)
                 total = np.diff(offsets)
                 count = -(-total // capacity)
