@@ -225,11 +225,11 @@ _STRENGTH = "CASE WHEN i % 16 = 0 THEN 1.0::DOUBLE WHEN i % 4 <> 0 THEN CASE WHE
 
 
 # 134, 135, 120 in kind
-@_query(f"""WITH f AS (SELECT p_partkey, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS samples, 60 + p_size AS bpm FROM part), w AS (SELECT *, samples / 1000.0::DOUBLE / ((60::DOUBLE / bpm) * 4 / 16) AS want FROM f),
+@_query(f"""WITH f AS (SELECT p_partkey, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS samples, 60 + p_size AS bpm FROM part), w AS (SELECT *, samples / 10000.0::DOUBLE / ((60::DOUBLE / bpm) * 4 / 16) AS want FROM f),
 n AS (SELECT *, greatest(16, floor(want / 16 + 0.5) * 16) AS nb, greatest(4, floor(want / 4 + 0.5) * 4) AS nq FROM w), c AS (SELECT *, CAST(greatest(1, least(512, CASE WHEN abs(want - nb) / want <= 0.02 THEN nb WHEN abs(want - nq) / want <= 0.02 THEN nq ELSE greatest(1, floor(want + 0.5)) END)) AS INTEGER) AS cnt, CASE WHEN abs(want - nb) / want <= 0.02 THEN 'bar' WHEN abs(want - nq) / want <= 0.02 THEN 'beat' ELSE 'slice' END AS aligned FROM n),
 x AS (SELECT *, unnest(range(0, cnt)) AS i FROM c) SELECT p_partkey, cnt AS "count", aligned, CAST(i AS INTEGER) AS slice, CAST(floor(i * samples / cnt + 0.5) AS BIGINT) AS start_sample, CAST(floor((i + 1) * samples / cnt + 0.5) AS BIGINT) AS end_sample, round({_STRENGTH}, 6) AS strength FROM x""")
 def slice_map(spark, sf_dir):
-    files = _table(spark, sf_dir, "part").select("p_partkey", half_up(F.col("p_retailprice") * 100).alias("samples"), F.lit(1000).alias("sample_rate"), (60 + F.col("p_size")).cast("double").alias("bpm"), F.lit("1/16").alias("subdivision"))
+    files = _table(spark, sf_dir, "part").select("p_partkey", half_up(F.col("p_retailprice") * 100).alias("samples"), F.lit(10000).alias("sample_rate"), (60 + F.col("p_size")).cast("double").alias("bpm"), F.lit("1/16").alias("subdivision"))
     return slices.slice_map(files).select("p_partkey", "count", "aligned", "slice", "start_sample", "end_sample", r6("strength").alias("strength"))
 
 
