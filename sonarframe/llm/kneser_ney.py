@@ -14,10 +14,12 @@ seen; an unseen gram adds its context's weights and goes on with a shorter one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sonarframe.llm import textnum as N
@@ -25,8 +27,13 @@ from sonarframe.llm.shared import drop, table
 from sonarframe.llm.table import KeyTable
 
 ORDER, SHARED = 6, 3
-#: Grams of the highest order that a model keeps, by count: what is sent to executors is bounded by this.
-MAX_GRAMS = 1 << 20
+#: Grams of the highest order in a shard, about: a model has as many shards as its grams need.
+SHARD_GRAMS = 1 << 20
+#: Bytes of text scored at once where a model has several shards, each loaded once for them.
+BLOCK_BYTES = 1 << 24
+#: Bytes of text in a slice that is scored: a worker's arrays are a few dozen times that.
+SLICE_BYTES = 1 << 17
+_SPREAD = 2654435761
 
 _EDGE = 0x0A  # stands before and after each text
 
@@ -91,72 +98,201 @@ def _counts(keys: np.ndarray, yes: np.ndarray, no: np.ndarray) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(yes), pa.array(no)], ["gram", "yes", "no"])
 
 
-def _discount(counts: np.ndarray) -> float:
-    one, two = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
+def _mask(n: int) -> np.uint64:
+    return np.uint64((1 << (8 * n)) - 1)
+
+
+def _fold(grams: np.ndarray, yes: np.ndarray, no: np.ndarray, order: int, shared: int) -> dict[int, tuple]:
+    """(keys, yes, no) of each order above ``shared``; below the highest they're continuation counts: kinds of bytes before."""
+    levels = {order: (grams, yes.astype(np.float64), no.astype(np.float64))}
+    for n in range(order - 1, shared, -1):
+        above, y, m = levels[n + 1]
+        keys, where = np.unique(above & _mask(n), return_inverse=True)
+        levels[n] = keys, np.bincount(where, y > 0, len(keys)), np.bincount(where, m > 0, len(keys))
+    return levels
+
+
+class Totals:
+    """What a shard needs to know of all the others: discounts, and pooled probabilities up to ``shared`` bytes (2^24 keys at most)."""
+
+    def __init__(self, order: int, shared: int):
+        self.order, self.shared = order, shared
+        self.seen = {n: np.zeros((2, 2), dtype=np.int64) for n in range(shared + 1, order + 1)}  # grams of each class counted once, twice
+        self.keys, self.kinds = np.zeros(0, dtype=np.uint64), np.zeros(0)
+
+    def add(self, levels: dict[int, tuple]) -> None:
+        for n, (_, *counts) in levels.items():
+            self.seen[n] += [[np.count_nonzero(c == 1), np.count_nonzero(c == 2)] for c in counts]
+        keys, y, m = levels[self.shared + 1]
+        every = np.concatenate([self.keys, keys & _mask(self.shared)])
+        self.keys, where = np.unique(every, return_inverse=True)
+        self.kinds = np.bincount(where, np.concatenate([self.kinds, (y > 0) | (m > 0)]), len(self.keys))
+
+    def discount(self, n: int, c: int) -> float:
+        return _discount(*self.seen[n][c])
+
+    def pooled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of ``shared`` bytes and their probabilities."""
+        levels = {self.shared: (self.keys, self.kinds)}
+        for n in range(self.shared - 1, 0, -1):
+            above, kinds = levels[n + 1]
+            keys, where = np.unique(above & _mask(n), return_inverse=True)
+            levels[n] = keys, np.bincount(where, kinds > 0, len(keys))
+        below, prob = None, None
+        for n in range(1, self.shared + 1):
+            keys, kinds = levels[n]
+            lower = np.full(len(keys), 1 / 256) if below is None else prob[np.searchsorted(below, keys & _mask(n - 1))]
+            contexts, where = np.unique(keys >> np.uint64(8), return_inverse=True)
+            prob, _ = _smooth(kinds, where, len(contexts), _discount(np.count_nonzero(kinds == 1), np.count_nonzero(kinds == 2)), lower)
+            below = keys
+        return below, prob
+
+
+def _discount(one: int, two: int) -> float:
     return one / (one + 2 * two) if one and two else 0.75
 
 
-class Model:
-    """Differences of log-probability (yes minus no) for ``order`` bytes of context and byte."""
+def _smooth(counts: np.ndarray, where: np.ndarray, contexts: int, d: float, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probability of each gram and backoff weight of each context."""
+    total = np.bincount(where, counts, contexts)
+    kinds = np.bincount(where, counts > 0, contexts)
+    weights = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
+    return np.where(total[where] > 0, np.maximum(counts - d, 0) / np.maximum(total[where], 1), 0) + weights[where] * lower, weights
 
-    def __init__(self, grams: np.ndarray, yes: np.ndarray, no: np.ndarray, order: int = ORDER, shared: int = SHARED):
-        self.order = order
-        levels = {order: (grams, yes.astype(np.float64), no.astype(np.float64))}
-        for n in range(order - 1, 0, -1):  # continuation counts: kinds of bytes before
-            above, y, m = levels[n + 1]
-            keys, where = np.unique(above & np.uint64((1 << (8 * n)) - 1), return_inverse=True)
-            levels[n] = keys, np.bincount(where, y > 0, len(keys)), np.bincount(where, m > 0, len(keys))
-            if n <= shared:
-                both = np.bincount(where, (y > 0) | (m > 0), len(keys))
-                levels[n] = keys, both, both
-        self.levels = []  # from the highest: keys, difference, contexts, difference of backoff weights
-        below: tuple[np.ndarray, np.ndarray] | None = None
-        prob = None
-        for n in range(1, order + 1):
+
+class Shard:
+    """From the highest order: keys, their difference, contexts, difference of their backoff weights."""
+
+    def __init__(self, levels: dict[int, tuple], totals: Totals, pooled: tuple[np.ndarray, np.ndarray]):
+        self.order, self.levels, self.find = totals.order, [], None
+        below, prob = pooled[0], np.stack([pooled[1]] * 2)
+        for n in range(totals.shared + 1, totals.order + 1):
             keys, *counts = levels[n]
             contexts, where = np.unique(keys >> np.uint64(8), return_inverse=True)
-            lower = np.full((2, len(keys)), 1 / 256)
-            if below is not None:
-                lower = prob[:, np.searchsorted(below, keys & np.uint64((1 << (8 * (n - 1))) - 1))]
-            prob, weights = np.empty((2, len(keys))), np.empty((2, len(contexts)))
-            for c in (0, 1):
-                d = _discount(counts[c])
-                total = np.bincount(where, counts[c], len(contexts))
-                kinds = np.bincount(where, counts[c] > 0, len(contexts))
-                weights[c] = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-                prob[c] = np.where(total[where] > 0, np.maximum(counts[c] - d, 0) / np.maximum(total[where], 1), 0) + weights[c][where] * lower[c]
+            lower = prob[:, np.searchsorted(below, keys & _mask(n - 1))]
+            prob, weights = (np.stack(x) for x in zip(*(_smooth(counts[c], where, len(contexts), totals.discount(n, c), lower[c]) for c in (0, 1))))
             below = keys
-            if n > shared:
-                self.levels.append((keys, np.log(prob[0] / prob[1]).astype(np.float32), contexts, np.log(weights[0] / weights[1]).astype(np.float32)))
+            self.levels.append((keys, np.log(prob[0] / prob[1]).astype(np.float32), contexts, np.log(weights[0] / weights[1]).astype(np.float32)))
         self.levels.reverse()
-        self.tables = None
-
-    def __getstate__(self):
-        return {"order": self.order, "levels": self.levels}
 
-    def __setstate__(self, state):
-        self.__dict__ |= state
-        self.tables = None
-
-    def differences(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log P(byte | yes) - log P(byte | no) at each byte of texts."""
-        if self.tables is None:
-            self.tables = [(KeyTable(k), np.append(d, 0), KeyTable(c), np.append(w, 0)) for k, d, c, w in self.levels]
-        keys = _grams(codes(data), offsets, self.order)
+    def stay(self) -> Shard:
+        """With tables for quick lookups in place of the sorted keys."""
+        if self.find is None:
+            self.find = [(KeyTable(k).find, KeyTable(c).find) for k, _, c, _ in self.levels]
+            self.levels = [(None, np.append(d, np.float32(0)), None, np.append(w, np.float32(0))) for _, d, _, w in self.levels]
+        return self
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """Differences of keys of ``order`` bytes."""
+        find = self.find or [(partial(_find, k), partial(_find, c)) for k, _, c, _ in self.levels]
+        last = [(d, w) if self.find else (np.append(d, np.float32(0)), np.append(w, np.float32(0))) for _, d, _, w in self.levels]
         out = np.zeros(len(keys), dtype=np.float32)
-        at = np.arange(len(keys))
-        for i, (grams, difference, contexts, weight) in enumerate(self.tables):
-            n = self.order - i
-            key = keys[at] & np.uint64((1 << (8 * n)) - 1)
-            found = grams.find(key)
-            out[at] += difference[found]  # 0 where it isn't found
-            miss = found < 0
-            at, key = at[miss], key[miss]
+        at = None  # all
+        for i, ((grams, contexts), (difference, weight)) in enumerate(zip(find, last)):
+            key = (keys if at is None else keys[at]) & _mask(self.order - i)
+            found = grams(key)
+            if at is None:
+                out += difference[found]  # 0 where it isn't found
+            else:
+                out[at] += difference[found]
+            miss = np.flatnonzero(found < 0)
+            at, key = miss if at is None else at[miss], key[miss]
             if not len(at):
                 break
-            out[at] += weight[contexts.find(key >> np.uint64(8))]
+            out[at] += weight[contexts(key >> np.uint64(8))]
+        return out
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Index of each key in sorted ``keys``, -1 for others."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
+    return np.where(keys[at] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
+
+
+def blocks(parts: Iterator[N.Slice], limit: int) -> Iterator[list[N.Slice]]:
+    """Slices, about ``limit`` bytes at a time."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part.data)
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def distinct(keys: Iterator[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct keys of all arrays, sorted, and for each array the place of its keys among them."""
+    each = [np.unique(k, return_inverse=True) for k in keys]
+    each = [(k, where.astype(np.int32)) for k, where in each]
+    every = np.unique(np.concatenate([k for k, _ in each]))
+    return every, [np.searchsorted(every, k).astype(np.int32)[where] for k, where in each]
+
+
+def once(shard):
+    """A shard's value; a worker doesn't keep it, so that it holds one shard at a time."""
+    if not isinstance(shard, Broadcast):
+        return shard
+    value = shard.value
+    shard.__dict__.pop("_value", None)
+    return value
+
+
+class Model:
+    """Differences of log-probability (yes minus no) for ``order`` bytes of context and byte.
+
+    Shards (broadcast where a cluster scores) cover every gram.  All that is looked
+    up for a byte has the same ``shared`` bytes before it, and those tell the shard.
+    """
+
+    def __init__(self, grams: np.ndarray, yes: np.ndarray, no: np.ndarray, order: int = ORDER, shared: int = SHARED):
+        levels, totals = _fold(grams, yes, no, order, shared), Totals(order, shared)
+        totals.add(levels)
+        self.order, self.shared, self.shards = order, shared, [Shard(levels, totals, totals.pooled())]
+
+    @classmethod
+    def of_shards(cls, shards: list, order: int, shared: int) -> Model:
+        out = cls.__new__(cls)
+        out.order, out.shared, out.shards = order, shared, shards
         return out
 
+    def unpersist(self) -> None:
+        for shard in self.shards:
+            if isinstance(shard, Broadcast):
+                shard.unpersist()
+
+    def shard_of(self, keys: np.ndarray) -> np.ndarray:
+        """As ``_shard`` says."""
+        context = (keys >> np.uint64(8)) & _mask(self.shared)
+        return ((((context * np.uint64(_SPREAD)) & np.uint64(0xFFFFFFFF)) >> np.uint64(8)) % np.uint64(len(self.shards))).astype(np.int64)
+
+    def over(self, parts: Iterator[N.Slice]) -> Iterator[tuple[N.Slice, np.ndarray]]:
+        """Each slice with log P(byte | yes) - log P(byte | no) at its bytes."""
+        if len(self.shards) == 1:
+            shard = (self.shards[0].value if isinstance(self.shards[0], Broadcast) else self.shards[0]).stay()
+            for part in parts:
+                yield part, shard.of(_grams(codes(part.data), part.offsets, self.order))
+            return
+        for block in blocks(parts, BLOCK_BYTES):
+            keys, places = distinct(_grams(codes(part.data), part.offsets, self.order) for part in block)
+            of, out = self.shard_of(keys), np.zeros(len(keys), dtype=np.float32)
+            for i, shard in enumerate(self.shards):
+                mine = np.flatnonzero(of == i)
+                if len(mine):
+                    out[mine] = once(shard).of(keys[mine])
+            for part, place in zip(block, places):
+                yield part, out[place]
+
+    def differences(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """log P(byte | yes) - log P(byte | no) at each byte of texts."""
+        return next(self.over(iter([N.Slice(0, data, offsets)])))[1]
+
+
+def _shard(gram: Column, shared: int, shards: int) -> Column:
+    context = F.shiftright(gram, 8).bitwiseAND(F.lit((1 << (8 * shared)) - 1).cast("long"))
+    return F.shiftright((context * F.lit(_SPREAD)).bitwiseAND(F.lit(0xFFFFFFFF)), 8) % F.lit(shards)
+
 
 def at_most(rows: DataFrame, weight, limit: int) -> DataFrame:
     """Rows of the largest weights: all from a weight on, so that they're no more than ``limit``."""
@@ -172,14 +308,29 @@ def at_most(rows: DataFrame, weight, limit: int) -> DataFrame:
     return rows.where(weight >= F.lit(least)) if least is not None else rows.limit(0)
 
 
-def train(labelled: DataFrame, order: int = ORDER, shared: int = SHARED, max_grams: int = MAX_GRAMS) -> Model:
-    """A model of the texts with label 1 against those with label 0."""
+def train(labelled: DataFrame, order: int = ORDER, shared: int = SHARED, shard_grams: int = SHARD_GRAMS) -> Model:
+    """A model of the texts with label 1 against those with label 0, of all their grams.
+
+    The driver makes one shard after another; discounts and the pooled lower orders
+    are taken from all of them first, so the number of shards doesn't change a result.
+    """
     counts = table(count(labelled, order), "grams")
-    rows = at_most(counts, F.col("yes") + F.col("no"), max_grams).toArrow()
+    shards = max(1, -(-counts.count() // shard_grams))
+
+    def levels(i: int) -> dict[int, tuple]:
+        rows = (counts.where(_shard(F.col("gram"), shared, shards) == i) if shards > 1 else counts).toArrow()
+        keys = rows.column("gram").to_numpy().view(np.uint64)
+        by = np.argsort(keys)
+        return _fold(keys[by], rows.column("yes").to_numpy()[by], rows.column("no").to_numpy()[by], order, shared)
+
+    totals, found = Totals(order, shared), None
+    for i in range(shards):
+        found = levels(i)
+        totals.add(found)
+    pooled, context = totals.pooled(), labelled.sparkSession.sparkContext
+    out = [context.broadcast(Shard(found if shards == 1 else levels(i), totals, pooled)) for i in range(shards)]
     drop(counts)
-    keys = rows.column("gram").to_numpy().view(np.uint64)
-    by = np.argsort(keys)
-    return Model(keys[by], rows.column("yes").to_numpy()[by], rows.column("no").to_numpy()[by], order, shared)
+    return Model.of_shards(out, order, shared)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from sonarframe.llm import keyfilter
 from sonarframe.llm import textnum as N
-from sonarframe.llm.kneser_ney import MAX_GRAMS, Model, logistic, train
+from sonarframe.llm.kneser_ney import SHARD_GRAMS, SLICE_BYTES, Model, logistic, train
 from sonarframe.llm.shared import held_out, id_text, named
 
 #: Lengths in bytes over which differences are averaged.
@@ -29,8 +29,8 @@ FEATURES = len(PASSAGES) + 2
 
 def features(model: Model, column) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, matrix) for consecutive texts: largest passage means, mean over the text, and log of the length."""
-    for part in N.slices(column):
-        d = model.differences(part.data, part.offsets).astype(np.float64)
+    for part, d in model.over(N.slices(column, limit=SLICE_BYTES)):
+        d = d.astype(np.float64)
         sums = np.concatenate([[0], np.cumsum(d)])
         lengths = np.diff(part.offsets)
         out = np.zeros((len(part), FEATURES))
@@ -57,7 +57,7 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def fit(docs: DataFrame, known: DataFrame, max_grams: int = MAX_GRAMS) -> Classifier | None:
+def fit(docs: DataFrame, known: DataFrame, shard_grams: int = SHARD_GRAMS) -> Classifier | None:
     """From docs (doc_id, text) and known (doc_id, label): three quarters of the labelled rows give the counts, of the rest a sample the calibration.
 
     None if the calibration lacks a class.  Only labelled texts are shuffled, and the
@@ -65,17 +65,15 @@ def fit(docs: DataFrame, known: DataFrame, max_grams: int = MAX_GRAMS) -> Classi
     """
     part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
     counted = known.where(part > 0)
-    model = train(keyfilter.some(docs, counted.select("doc_id")).join(counted, "doc_id"), max_grams=max_grams)
+    model = train(keyfilter.some(docs, counted.select("doc_id")).join(counted, "doc_id"), shard_grams=shard_grams)
     sample = known.where(part == 0).orderBy(F.xxhash64(F.col("doc_id") + 1), "doc_id").limit(MAX_CALIBRATION)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, x in features(shared.value, batch.column("text")):
+            for row, x in features(model, batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(row, len(x)), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "x"])
 
     rows = docs.join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(run, "label int, x array<double>").toArrow()
-    shared.unpersist()
     y = np.array(rows.column("label").to_pylist(), dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None
@@ -94,11 +92,11 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = id_text(docs, id_col, text_col)
     known = labels.select(named(id_col).cast("long").alias("doc_id"), named(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     source = id_text(train_docs, id_col, text_col) if train_docs is not None else rows
-    classifier = docs.sparkSession.sparkContext.broadcast(fit(source.where("text is not null"), known.where(~held_out(F.col("doc_id")))))
+    classifier = fit(source.where("text is not null"), known.where(~held_out(F.col("doc_id"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = classifier.value.scores(batch.column("text")) if classifier.value else np.zeros(batch.num_rows)
+            p = classifier.scores(batch.column("text")) if classifier else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p)], ["doc_id", "held_out", "score"])
 
     out = rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double")
