@@ -294,20 +294,6 @@ def _shard(gram: Column, shared: int, shards: int) -> Column:
     return F.shiftright((context * F.lit(_SPREAD)).bitwiseAND(F.lit(0xFFFFFFFF)), 8) % F.lit(shards)
 
 
-def at_most(rows: DataFrame, weight, limit: int) -> DataFrame:
-    """Rows of the largest weights: all from a weight on, so that they're no more than ``limit``."""
-    if rows.count() <= limit:
-        return rows
-    sizes = rows.groupBy(weight.alias("w")).count().orderBy(F.desc("w")).where("w > 0")
-    n, least = 0, None
-    for w, c in sizes.toLocalIterator():
-        n += c
-        if n > limit:
-            break
-        least = w
-    return rows.where(weight >= F.lit(least)) if least is not None else rows.limit(0)
-
-
 def train(labelled: DataFrame, order: int = ORDER, shared: int = SHARED, shard_grams: int = SHARD_GRAMS) -> Model:
     """A model of the texts with label 1 against those with label 0, of all their grams.
 
