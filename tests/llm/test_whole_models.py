@@ -5,8 +5,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sonarframe.llm import kneser_ney, toxicity
+from sonarframe.llm import kneser_ney, toxicity, url_filters
 
 LETTERS = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz  ", dtype=np.uint8)
 
@@ -72,3 +73,19 @@ def test_shards_change_nothing(spark, shard_grams):
     assert np.allclose(one.scores(column), many.scores(column), atol=1e-6)
     scored = docs.mapInArrow(lambda batches: (type(b).from_arrays([b.column("doc_id"), __import__("pyarrow").array(many.scores(b.column("text")))], ["doc_id", "p"]) for b in batches), "doc_id long, p double")
     assert np.allclose([r.p for r in scored.orderBy("doc_id").collect()], one.scores(column), atol=1e-6)
+
+
+def test_urls_beyond_a_shard(spark):
+    """The ratio of undecided URLs comes from all grams of decided ones."""
+    draw = np.random.default_rng(10)
+    path = lambda n: random_text(draw, n).replace(" ", "-")
+    urls = [f"http://a.com/{path(9000)}" for _ in range(190)] + [f"http://x.net/es/{path(60)}" for _ in range(40)] + [f"http://b.org/{path(50)}" for _ in range(10)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in url_filters.judge(pages).collect()}
+    part = {r.page_id for r in pages.where(F.pmod(F.xxhash64("url"), F.lit(4)) > 0).collect()}
+    texts = [(u, int(got[i].verdict == "allow")) for i, u in enumerate(urls) if got[i].rule and i in part]
+    assert len({t[i : i + 6] for t, _ in texts for i in range(len(t))}) > 1 << 20
+    want = brute(texts)
+    for i in range(225, 240):
+        padded = b"\n" * 5 + urls[i].encode()
+        assert abs(got[i].ratio - np.mean([want(padded[k : k + 6]) for k in range(len(urls[i]))])) < 1e-4
