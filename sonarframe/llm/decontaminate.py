@@ -6,6 +6,12 @@ For each benchmark item shared q-grams are counted in overlapping bands of diago
 each twice k + 1 wide, so any such passage lies in one band whole; bands that
 reach the bound are aligned, inside their diagonals only.
 
+With ``region`` the same holds for parts of an item: it's also looked for by windows
+of that many characters, ``STRIDE`` apart and one at its end, each with the budget of
+its own length.  So any region + STRIDE - 1 consecutive characters of an item that a
+document holds verbatim have a whole window in them.  Items too short for edits to
+tell them from chance are then looked for verbatim, at word boundaries.
+
 The benchmark is the query set: it's taken in blocks of bounded size, each
 broadcast against all documents.
 """
@@ -24,8 +30,10 @@ from sonarframe.llm.shared import id_text, named
 from sonarframe.llm.table import KeyTable
 
 Q, EDIT_RATE = 10, 0.06
-#: Items with fewer characters, after normalisation, can't be told from chance and match nothing.
+#: Items with fewer characters, after normalisation, can't be told from chance with edits: they match verbatim or not at all.
 LEAST_CHARS = 30
+#: Characters of a region, and how far apart regions of an item begin.
+REGION, STRIDE = 50, 11
 #: Characters of benchmark items that are broadcast at once.
 BLOCK_CHARS = 8_000_000
 SLICE_CHARS = 1 << 19
@@ -73,10 +81,18 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int)
 class Items:
     """One block of benchmark items with the index of their q-grams."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = EDIT_RATE, q: int = Q):
+    def __init__(self, items: list[tuple[int, str]], rate: float = EDIT_RATE, q: int = Q, region: int | None = None):
         self.q = q
-        self.ids = [i for i, t in items if len(normalise(t)) >= max(LEAST_CHARS, q)]
-        self.texts = [points(normalise(t)) for _, t in items if len(normalise(t)) >= max(LEAST_CHARS, q)]
+        whole = [(i, points(t)) for i, t in ((i, normalise(t)) for i, t in items) if t]
+        least = max(LEAST_CHARS, q)
+        patterns = [(i, t) for i, t in whole if len(t) >= least]
+        n = len(patterns)
+        if region:
+            patterns += [(i, t[at : at + region]) for i, t in patterns for at in sorted({*range(0, len(t) - region, STRIDE), len(t) - region}) if len(t) > region]
+        self.whole = np.arange(len(patterns)) < n
+        self.ids, self.texts = [i for i, _ in patterns], [t for _, t in patterns]
+        self.owner = np.unique(np.array(self.ids, dtype=np.int64), return_inverse=True)[1]  # patterns of one item have one number
+        self.short = Short([(i, t) for i, t in whole if len(t) < least] if region else [])
         self.lengths = np.array([len(t) for t in self.texts], dtype=np.int64)
         self.budgets = np.array([budget(n, rate, q) for n in self.lengths], dtype=np.int64)
         self.least = self.lengths - q + 1 - self.budgets * q
@@ -115,20 +131,54 @@ class Items:
         keep = n >= np.maximum(self.least[lead % len(self.ids)], 1)
         lead, band, n = lead[keep], band[keep], n[keep]
         seen: set[int] = set()
-        for i in np.argsort(-n, kind="stable").tolist():  # the fullest band of a pair first
-            if int(lead[i]) in seen:
-                continue
+        for i in np.lexsort((-n, ~self.whole[lead % len(self.ids)])).tolist():  # whole items first, then the fullest band
             d, k = divmod(int(lead[i]), len(self.ids))
+            pair = d * len(self.ids) + int(self.owner[k])
+            if pair in seen:
+                continue
             most, m = int(self.budgets[k]), int(self.lengths[k])
             low = int(band[i]) * (most + 1)
             begin, end = np.searchsorted(owner, d), np.searchsorted(owner, d, side="right")
             from_, to = max(begin, low - most), min(end, low + 2 * most + 2 + m + most)
             got = align(self.texts[k], text[from_:to], low - int(from_), low + 2 * most + 1 - int(from_), most)
             if got:
-                seen.add(int(lead[i]))
+                seen.add(pair)
                 yield d, k, got[0], int(from_) + got[1] - int(begin)
 
 
+class Short:
+    """Items of few characters, found where a text has all of them and no letter or digit goes on before or after."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        by: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, t in items:
+            by.setdefault(len(t), []).append((i, t))
+        self.lengths = []  # length, distinct hashes, items of each
+        for m, same in sorted(by.items()):
+            keys, where = np.unique(np.concatenate([gram_hashes(t, m) for _, t in same]), return_inverse=True)
+            groups: list[list[tuple[int, np.ndarray]]] = [[] for _ in keys]
+            for g, item in zip(where.tolist(), same):
+                groups[g].append(item)
+            self.lengths.append((m, keys, groups))
+
+    def search(self, text: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(document, item's identifier, end) once for a document and an item."""
+        seen: set[tuple[int, int]] = set()
+        for m, keys, groups in self.lengths:
+            hashes = gram_hashes(text, m)
+            for at in np.flatnonzero(np.isin(hashes, keys)).tolist():
+                d = int(owner[at])
+                for i, t in groups[int(np.searchsorted(keys, hashes[at]))]:
+                    if (d, i) not in seen and np.array_equal(text[at : at + m], t) and not _goes_on(text, at) and not _goes_on(text, at + m):
+                        seen.add((d, i))
+                        yield d, i, at + m - int(np.searchsorted(owner, d))
+
+
+def _goes_on(text: np.ndarray, at: int) -> bool:
+    """Whether a word goes on from the character before ``at`` to the one there."""
+    return 0 < at < len(text) and chr(text[at - 1]).isalnum() and chr(text[at]).isalnum()
+
+
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
@@ -144,34 +194,39 @@ def gram_hashes(text: np.ndarray, q: int) -> np.ndarray:
 FOUND = "doc_id long, item_id long, contaminated boolean, edits int, passage_end long, similarity double"
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_rate: float = EDIT_RATE, q: int = Q) -> DataFrame:
+def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", edit_rate: float = EDIT_RATE, q: int = Q, region: int | None = None) -> DataFrame:
     """One row for each document and benchmark item that it contains with at most ``edit_rate`` edits a character.
 
     doc_id, item_id, contaminated (true), edits, passage_end (in the normalised text)
-    and similarity (1 - edits / characters of the item).  Null, empty and short texts
-    contain nothing; items that are null or under LEAST_CHARS characters are in nothing;
-    an empty benchmark or table of documents gives no rows.  A pair is given once per row of ``docs``.
+    and similarity (1 - edits / characters of the item).  With ``region`` a document also
+    contains an item if it has a region of that many characters; edits and similarity are
+    the region's unless the whole item is found, and items under LEAST_CHARS characters
+    are found verbatim (without ``region`` they're in nothing).  Null and empty texts
+    contain nothing; null and blank items are in nothing; an empty benchmark or table of documents gives no rows.  A pair is given once per row of ``docs``.
     """
     source = id_text(docs, id_col, text_col).where("text is not null")
     spark = docs.sparkSession
     out = spark.createDataFrame([], FOUND)
 
     def search(items: list[tuple[int, str]]) -> DataFrame:
-        block = spark.sparkContext.broadcast(Items(items, edit_rate, q))
+        block = spark.sparkContext.broadcast(Items(items, edit_rate, q, region))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = block.value
             for batch in batches:
                 ids, texts = batch.column("doc_id"), batch.column("text")
                 row, rows = 0, []
-                while row < batch.num_rows and known.ids:
+                while row < batch.num_rows and (known.ids or known.short.lengths):
                     parts, size, first = [], 0, row
                     while row < batch.num_rows and (size < SLICE_CHARS or row == first):
                         parts.append(normalise(texts[row].as_py()) + "\n")
                         size += len(parts[-1])
                         row += 1
                     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                    for d, k, edits, end in known.search(points("".join(parts)), owner):
+                    text = points("".join(parts))
+                    for d, i, end in known.short.search(text, owner):
+                        rows.append((ids[first + d].as_py(), i, True, 0, end, 1.0))
+                    for d, k, edits, end in known.search(text, owner) if known.ids else ():
                         rows.append((ids[first + d].as_py(), known.ids[k], True, edits, end, 1 - edits / int(known.lengths[k])))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "contaminated", "edits", "passage_end", "similarity"])
@@ -190,6 +245,6 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that contain no benchmark item, with all their columns; rows with a null id stay."""
-    gone = passages(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__gone__")).distinct()
+    """Rows of ``docs`` that contain no benchmark item and no region of one, with all their columns; rows with a null id stay."""
+    gone = passages(docs, benchmark, id_col, text_col, region=REGION).select(F.col("doc_id").alias("__gone__")).distinct()
     return docs.join(gone, named(id_col).cast("long") == F.col("__gone__"), "left_anti")

@@ -46,7 +46,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.passages(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.passages(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"), region=decontaminate.REGION)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
