@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sonarframe.llm import kneser_ney, toxicity, url_filters
 
 LETTERS = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz  ", dtype=np.uint8)
@@ -89,3 +90,17 @@ def test_urls_beyond_a_shard(spark):
     for i in range(225, 240):
         padded = b"\n" * 5 + urls[i].encode()
         assert abs(got[i].ratio - np.mean([want(padded[k : k + 6]) for k in range(len(urls[i]))])) < 1e-4
+
+
+def test_pipeline_drops_rare_toxic_words(spark, tmp_path):
+    """Toxic words are each seen a few times, clean grams more often and in a larger number than a shard has."""
+    draw = np.random.default_rng(11)
+    words = [random_text(draw, 12).replace(" ", "q") for _ in range(40)]
+    texts = [random_text(draw, 9000) * 8 for _ in range(320)]
+    texts += [random_text(draw, 150) + (" " + words[i % 40] + " " if i < 280 else "") + random_text(draw, 50) for i in range(560)]
+    toxic = [320 <= i < 600 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    assert np.mean([i in kept for i, t in enumerate(toxic) if t]) < 0.1
+    assert np.mean([i in kept for i, t in enumerate(toxic) if not t]) > 0.95
