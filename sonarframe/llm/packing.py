@@ -33,7 +33,7 @@ DEME, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 600, 2, 2, 6, 5
 FREE = (6, 24)
 _MARK = b"<|"
 #: Distinct words whose tokens a worker keeps.
-MAX_WORDS = 1_500_000
+MAX_WORDS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -51,46 +51,84 @@ class Encoder:
     """Token ids of whole texts, word by word.
 
     The tokenizer drops white space and never joins what it separates, so a text's
-    ids are its words' ids; the tokens of words seen before are kept in flat arrays
-    under 64-bit hashes of the words' bytes.
+    ids are its words' ids; the tokens of words seen before are kept in flat arrays.
+    Words of up to seven bytes are their own key.  Longer ones are found by hash and
+    their bytes compared with the word's that was kept; what differs, and words over
+    ``textnum.LONG_WORD`` bytes, are tokenised each time.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, weaken: int = 0):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.weaken = Tokenizer.from_file(path), weaken
         self._clear()
 
     def _clear(self):
         self.table = KeyTable(np.zeros(0, np.uint64))
         self.at, self.size, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
+        self.word_at, self.word_size, self.words, self.written = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(8, np.uint8), 0
 
-    def _learn(self, part: N.Slice, hashes: np.ndarray, missing: np.ndarray) -> None:
-        keys, first = np.unique(hashes[missing], return_index=True)
+    def _keys(self, part: N.Slice) -> np.ndarray:
+        size = part.ends - part.starts
+        hashes = part.word_hashes()
+        if self.weaken:
+            hashes %= np.uint64(self.weaken)
+        own = N.eights(part.data)[part.starts] & N.LOW_BYTES[np.minimum(size, 7)] | size.astype(np.uint64) << np.uint64(56)
+        return np.where(size <= 7, own, hashes | np.uint64(0xFF << 56))
+
+    def _tokens(self, part: N.Slice, where: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """Numbers of tokens of the words at ``where``, and the tokens."""
+        words = [part.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(part.starts[where].tolist(), part.ends[where].tolist())]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([len(i) for i in ids], dtype=np.int64), [t for i in ids for t in i]
+
+    def _put(self, n: int, size: np.ndarray, tokens: list[int]) -> None:
+        """Tokens of words numbered from ``n`` on."""
+        total = len(tokens)
+        self.at, self.size, self.flat = _room(self.at, n + len(size)), _room(self.size, n + len(size)), _room(self.flat, self.used + total)
+        self.at[n : n + len(size)] = self.used + np.cumsum(size) - size
+        self.size[n : n + len(size)] = size
+        self.flat[self.used : self.used + total] = tokens
+
+    def _learn(self, part: N.Slice, keys: np.ndarray, missing: np.ndarray) -> None:
+        new, first = np.unique(keys[missing], return_index=True)
         where = missing[first]
-        if self.table.n + len(keys) > MAX_WORDS:
+        if self.table.n + len(new) > MAX_WORDS:
             self._clear()
-            keys, where = np.unique(hashes, return_index=True)
-        data = part.data.tobytes()
-        words = [data[s:e].decode("utf-8", "replace") for s, e in zip(part.starts[where].tolist(), part.ends[where].tolist())]
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.array([len(i) for i in ids], dtype=np.int64)
-        n, total = self.table.n, int(size.sum())
-        self.at, self.size, self.flat = _room(self.at, n + len(keys)), _room(self.size, n + len(keys)), _room(self.flat, self.used + total)
-        self.at[n : n + len(keys)] = self.used + np.cumsum(size) - size
-        self.size[n : n + len(keys)] = size
-        self.flat[self.used : self.used + total] = [t for i in ids for t in i]
-        self.used += total
-        self.table.add(keys)
+            brief = np.flatnonzero(part.ends - part.starts <= N.LONG_WORD)
+            new, first = np.unique(keys[brief], return_index=True)
+            where = brief[first]
+        n, (size, tokens) = self.table.n, self._tokens(part, where)
+        self._put(n, size, tokens)
+        self.used += len(tokens)
+        starts, length = part.starts[where], part.ends[where] - part.starts[where]
+        length = np.where(length > 7, length, 0)  # shorter words are told by their keys
+        self.word_at, self.word_size = _room(self.word_at, n + len(new)), _room(self.word_size, n + len(new))
+        self.words = _room(self.words, self.written + int(length.sum()) + 8)
+        self.word_at[n : n + len(new)], self.word_size[n : n + len(new)] = self.written + np.cumsum(length) - length, length
+        self.words[self.written : self.written + int(length.sum())] = part.data[N.ranges(starts, length)]
+        self.written += int(length.sum())
+        self.table.add(new)
 
     def ids(self, part: N.Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a slice, each text followed by END_ID; offsets of texts)."""
-        hashes = part.word_hashes()
-        index = self.table.find(hashes)
-        missing = np.flatnonzero(index < 0)
+        keys, length = self._keys(part), part.ends - part.starts
+        index, brief = self.table.find(keys), length <= N.LONG_WORD
+        missing = np.flatnonzero((index < 0) & brief)
         if len(missing):
-            self._learn(part, hashes, missing)
-            index = self.table.find(hashes)
+            self._learn(part, keys, missing)
+            index = self.table.find(keys)
+        alone, hashed = ~brief, np.flatnonzero(brief & (length > 7))
+        if len(hashed):
+            alone[hashed] = self.word_size[index[hashed]] != length[hashed]
+            hashed = hashed[~alone[hashed]]
+            kept = np.ndarray((len(self.words) - 7,), dtype="<u8", buffer=self.words, strides=(1,))
+            alone[hashed] = ~N.same_bytes(N.eights(part.data), part.starts[hashed], kept, self.word_at[index[hashed]], length[hashed])
+        direct = np.flatnonzero(alone)
+        if len(direct):
+            size, tokens = self._tokens(part, direct)
+            self._put(self.table.n, size, tokens)  # written over by the next
+            index[direct] = self.table.n + np.arange(len(direct))
         size = self.size[index]
         ends = np.concatenate([[0], np.cumsum(size)])[part.word_offsets[1:]]
         ids = self.flat[N.ranges(self.at[index], size)]
