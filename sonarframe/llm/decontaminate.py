@@ -184,11 +184,7 @@ def points(text: str) -> np.ndarray:
 
 
 def gram_hashes(text: np.ndarray, q: int) -> np.ndarray:
-    if len(text) < q:
-        return np.zeros(0, dtype=np.uint64)
-    sums = N.prefix(N.mix(text.astype(np.uint64) + np.uint64(1)))
-    i = np.arange(len(text) - q + 1)
-    return N.span_hash(sums, i, i + q)
+    return N.runs(N.mix(text.astype(np.uint64) + np.uint64(1)), q)
 
 
 FOUND = "doc_id long, item_id long, contaminated boolean, edits int, passage_end long, similarity double"

@@ -32,8 +32,8 @@ from sonarframe.llm.shared import drop, id_text, named, table
 SHINGLE, SIMILARITY = 5, 0.75
 BANDS, ROWS, BITS = 64, 4, 4
 MINIMA = BANDS * ROWS
-#: Pairs whose estimate is lower than the similarity by this much aren't confirmed: over five standard deviations at 256 minima.
-SLACK = 0.15
+#: Pairs whose estimate is lower than the similarity by this much aren't confirmed: seven standard deviations at 256 minima, a chance of about 1e-11.
+SLACK = 0.2
 #: Nodes and shingles in one side of a block.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 21
 
@@ -43,18 +43,26 @@ _MULTIPLY = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32) | np.uint32(1)
 _FOLD = (_rng.integers(0, 2**63, MINIMA, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def shingle_sets(column, k: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes) of each text; A-Z lower-cased, fewer than k words are one shingle."""
+def shingle_sets(column, k: int = SHINGLE, seeds: tuple[int, ...] = (0,)) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each text the sorted distinct shingle hashes by each seed; A-Z lower-cased, fewer than k words are one shingle."""
     for part in N.slices(column, fold_case=True):
-        sums = N.prefix(part.word_hashes())
         first, last = part.word_offsets[:-1], part.word_offsets[1:]
-        counts = np.where(last - first >= k, last - first - k + 1, (last > first).astype(np.int64))
-        start = N.ranges(first, counts)
-        end = np.minimum(start + k, np.repeat(last, counts))
-        hashes = N.span_hash(sums, start, end)
+        words = last - first
+        counts = np.where(words >= k, words - k + 1, (words > 0).astype(np.int64))
         at = np.concatenate([[0], np.cumsum(counts)])
+        full = np.flatnonzero(words >= k)
+        from_, to = N.ranges(first[full], counts[full]), N.ranges(at[full], counts[full])
+        each = []
+        for seed in seeds:
+            hashes, out = part.word_hashes(seed), np.zeros(int(at[-1]), dtype=np.uint64)
+            out[to] = N.runs(hashes, k)[from_]
+            for n in range(1, k):
+                some = np.flatnonzero(words == n)
+                if len(some):
+                    out[at[some]] = N.runs(hashes, n)[first[some]]
+            each.append(out)
         for d in range(len(part)):
-            yield part.row + d, np.unique(hashes[at[d] : at[d + 1]])
+            yield tuple(np.unique(h[at[d] : at[d + 1]]) for h in each)
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -85,10 +93,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bands = np.arange(BANDS, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)
     for batch in batches:
         n, one, two, band, packed = [], [], [], [], []
-        for _, s in shingle_sets(batch.column("text")):
-            n.append(len(s))
+        for s, other in shingle_sets(batch.column("text"), seeds=(0, 1)):
+            n.append(max(len(s), len(other)))
             one.append(int(N.mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-            two.append(int(N.mix(s ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+            two.append(int(N.mix(other).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
             if len(s):
                 low = minima(s)
                 band.append(N.mix((low * _FOLD).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) ^ bands).view(np.int64))
@@ -109,7 +117,7 @@ def _sets(bits):
             if not batch.num_rows:
                 continue
             batch = batch.filter(pa.array(wanted.maybe([batch.column("doc_id").to_numpy(zero_copy_only=False)])))
-            found = [s.tobytes() for _, s in shingle_sets(batch.column("text"))]
+            found = [s.tobytes() for (s,) in shingle_sets(batch.column("text"), seeds=(1,))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["node", "shingles"])
 
     return run
