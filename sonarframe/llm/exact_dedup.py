@@ -3,13 +3,13 @@
 Digests of whole texts arrive as a stream; a streaming aggregation without
 watermark, so without expiry, keeps for each digest the number of rows and the
 identifier and content locator (file, row) of the row that stays, in RocksDB
-state with its checkpoint in the shared folder.  Rows that hit a digest with
-other rows are then compared with the full bytes of the row that stays; should
-texts with one digest differ, those digests are resolved by whole texts.
+state with its checkpoint in the shared folder.  Full bytes of the rows that hit a
+digest with other rows are then compared: the least and the greatest text of a
+digest are one.  Should they differ, those digests are resolved by whole texts.
 
 DataFrame operations only.  Map-side aggregation takes a hot text down to one row
-a task before the shuffle into state; the byte check is a join whose skewed side
-adaptive execution splits.
+a task before the shuffle into state, and again in the byte check, which reads only
+texts that a bitmap of the digests with several rows lets through.
 """
 
 from __future__ import annotations
@@ -28,6 +28,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 STREAM_SETTINGS = {PROVIDER: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 
 
+MOST_BITS, _PIECE = 1 << 27, 32768  # bits of the bitmap, and of one of bitmap_construct_agg
+#: Rows that are left out by a broadcast of their locators; more are joined.
+MOST_DROPPED = 1 << 18
+
+
 def _sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
@@ -65,6 +70,17 @@ def keyed_state(arrivals: DataFrame, checkpoint: str, out: str) -> None:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def _hits(located: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows whose digest may be in ``groups`` (a table), by a bitmap of about 16 bits a digest and at most MOST_BITS (16 MB), 4 KB a piece."""
+    n, bits = groups.count(), 1 << 16
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    slot = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    pieces = groups.select(slot.alias("slot")).groupBy(F.expr(f"slot div {_PIECE}").alias("p")).agg(F.bitmap_construct_agg(F.col("slot") % _PIECE).alias("bits"))
+    rows = located.withColumn("slot", slot).join(F.broadcast(pieces), F.expr(f"slot div {_PIECE}") == F.col("p"))
+    return rows.where(F.expr(f"getbit(cast(conv(hex(substring(bits, cast(slot % {_PIECE} div 8 + 1 as int), 1)), 16, 10) as int), cast(slot % 8 as int)) = 1")).drop("slot", "p", "bits")
+
+
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and the locator (file, row), one row per row of ``docs``.
 
@@ -85,20 +101,13 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     state = spark.read.schema(schema).parquet(f"{base}/out").groupBy("digest").agg(F.max("group_size").alias("group_size"), F.max("keep").alias("keep"))
     state = table(state, "groups")
 
-    # full bytes of every row that hit a digest, against those of the row that stays
-    groups = state.where("group_size > 1").select(F.col("digest").alias("d"), "keep")
-    hits = located.join(groups, F.col("digest") == F.col("d")).select("doc_id", "digest", "text", (F.struct("doc_id", "file", "row") == F.col("keep")).alias("stays"))
-    hits = table(hits, "hits")
-    stays = hits.where("stays").groupBy("digest").agg(F.max("text").alias("keep_text")).withColumnRenamed("digest", "d")
-    differ = hits.join(stays, F.col("digest") == F.col("d"), "left").where(~F.col("text").eqNullSafe(F.col("keep_text"))).select("digest").distinct()
-    differ = table(differ, "differ")
+    texts = _hits(located, state.where("group_size > 1")).groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))
+    differ = table(texts.where("least <> most").select("digest"), "differ")
 
     same = arrivals.join(state.withColumnRenamed("digest", "d"), F.col("digest") == F.col("d")).drop("d")
     if not digest:
         same = same.withColumn("text_sha256", F.col("digest"))
-    if not differ.take(1):
-        drop(hits)
-    else:  # a digest that stands for several texts: its rows are grouped by the texts themselves
+    if differ.take(1):  # a digest that stands for several texts: its rows are grouped by the texts themselves
         clash = located.join(differ, "digest", "left_semi").withColumn("group_key", F.col("text"))
         by_text = clash.groupBy("digest", "group_key").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "file", "row")).alias("keep"))
         solved = clash.join(by_text, ["digest", "group_key"]).select("doc_id", "digest", "file", "row", "group_size", "keep", "text_sha256")
@@ -117,14 +126,18 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     One row of each text stays: the one with the largest id.  ``docs`` should read files (a written table); rows
     repeated with one id in a table without files stay together.
     """
-    found = duplicates(docs, id_col, text_col).where("kept").select("doc_id", "file", "row")
-    keep = found.select(F.struct("doc_id", "file", "row").alias("__keep__"))
+    found = duplicates(docs, id_col, text_col)
     try:
-        where = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
-        marked = docs.select("*", F.struct(named(id_col).cast("long").alias("doc_id"), where[0].alias("file"), where[1].alias("row")).alias("__here__"))
+        file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        marked, located = docs.select("*", F.struct(named(id_col).cast("long").alias("doc_id"), file.alias("file"), row.alias("row")).alias("__here__")), True
     except AnalysisException:
-        marked = docs.select("*", F.struct(named(id_col).cast("long").alias("doc_id"), F.lit("").alias("file"), F.lit(0).cast("long").alias("row")).alias("__here__"))
-    return marked.join(keep, F.col("__here__").eqNullSafe(F.col("__keep__")), "left_semi").drop("__here__")
+        marked, located = docs.select("*", F.struct(named(id_col).cast("long").alias("doc_id"), F.lit("").alias("file"), F.lit(0).cast("long").alias("row")).alias("__here__")), False
+    here = F.struct("doc_id", "file", "row").alias("__there__")
+    if located:
+        gone = table(found.where("not kept").select(here), "gone")
+        if gone.count() <= MOST_DROPPED:
+            return marked.join(F.broadcast(gone), F.col("__here__").eqNullSafe(F.col("__there__")), "left_anti").drop("__here__")
+    return marked.join(found.where("kept").select(here), F.col("__here__").eqNullSafe(F.col("__there__")), "left_semi").drop("__here__")
 
 
 ORACLE = """

@@ -18,13 +18,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     at = table(_ordered(edges), "edges")
     size = _mark(at)
-    while True:
+    while size[0]:
         both = at.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(at.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _ordered(both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        inner = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = table(_ordered(inner.unionByName(least.select("a", F.col("m").alias("b")))), "edges")
+        # least neighbours are tables, so that both sides of each join are exchanges of its own and a hub's rows can be split
+        least = table(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "least")
+        large = table(_ordered(both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b"))), "large")
+        drop(least)
+        least = table(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "w"), "least")
+        inner = large.join(least, F.col("a") == F.col("w")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        after = table(_ordered(inner.unionByName(least.select(F.col("w").alias("a"), F.col("m").alias("b")))), "edges")
+        drop(least)
+        drop(large)
         drop(at)
         at, before, size = after, size, _mark(after)
         if size == before:
