@@ -8,6 +8,8 @@
 3. Nodes that share a band hang on the band's smallest node: rows stay linear in
    the nodes however many share a band.  Components of these links are the groups
    inside which nodes must be compared.
+   A group of very many nodes is taken apart again: only nodes that share a band are compared,
+   and of bands with the same nodes one is enough.
 4. Inside a group, signatures are compared in blocks; the similarity estimated
    from differing low bits, corrected for bits that agree by chance, decides which
    pairs are confirmed on the full sets, and pairs already connected are skipped.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from sonarframe.llm import keyfilter
 from sonarframe.llm import textnum as N
 from sonarframe.llm.graph import components
-from sonarframe.llm.shared import drop, id_text, named, table
+from sonarframe.llm.shared import drop, free, id_text, settle, table, without
 
 SHINGLE, SIMILARITY = 5, 0.75
 BANDS, ROWS, BITS = 64, 4, 4
@@ -35,7 +37,9 @@ MINIMA = BANDS * ROWS
 #: Pairs whose estimate is lower than the similarity by this much aren't confirmed: seven standard deviations at 256 minima, a chance of about 1e-11.
 SLACK = 0.2
 #: Nodes and shingles in one side of a block.
-BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 21
+BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 19
+#: A group of more blocks is compared band by band: a row is copied once for each of its bands, not for each block.
+MOST_BLOCKS = 64
 
 _rng = np.random.default_rng(5)
 _XOR = _rng.integers(0, 2**32, MINIMA, dtype=np.uint32)
@@ -167,7 +171,7 @@ def _blocks(similarity: float):
             rows.clear()
 
         for batch in batches:
-            for g, i, j, b, node, packed, shingles in zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "block", "node", "packed", "shingles"))):
+            for g, i, j, b, node, packed, shingles in zip(*(batch.column(c).to_pylist() for c in ("part", "i", "j", "block", "node", "packed", "shingles"))):
                 if (g, i, j) != key:
                     close()
                     key = (g, i, j)
@@ -182,6 +186,26 @@ def _blocks(similarity: float):
     return run
 
 
+def _blocked(members: DataFrame) -> DataFrame:
+    """(part, node, blocks, block) of members (part, node, n_shingles): into how many blocks a part's nodes are dealt, and each node's."""
+    per = members.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    per = table(per.select("p", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "blocks")
+    return members.join(per, F.col("part") == F.col("p")).select("part", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+
+
+def _parts(own: DataFrame, groups: DataFrame) -> DataFrame:
+    """(part, node, blocks, block): the nodes that must be compared with each other are in one part at least."""
+    whole = _blocked(groups.join(own.select(F.col("node").alias("o"), "n_shingles"), F.col("node") == F.col("o")).select(F.col("component").alias("part"), "node", "n_shingles"))
+    whole = table(whole, "whole")
+    large = whole.where(F.col("blocks") > MOST_BLOCKS)
+    if not large.take(1):
+        return whole
+    slots = large.select(F.col("node").alias("o")).join(own, F.col("node") == F.col("o")).select("node", "n_shingles", F.explode("bands").alias("part"))
+    sets = slots.groupBy("part").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum")).where("n > 1")
+    sets = table(sets.groupBy("n", "least", "sum").agg(F.min("part").alias("p")).select("p"), "slots")
+    return whole.where(F.col("blocks") <= MOST_BLOCKS).unionByName(_blocked(slots.join(sets, F.col("part") == F.col("p")).drop("p")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row.
 
@@ -189,6 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with one id are one node of the graph, and all of them are kept or none.  A row
     with a null id is linked with nothing, has a null component and is kept.
     """
+    settle(docs.sparkSession)
     source = id_text(docs, id_col, text_col)
     sketches = table(source.mapInArrow(_sketches, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, packed binary"), "sketches")
     some = sketches.where("n_shingles > 0 and doc_id is not null")
@@ -197,21 +222,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = table(held.where("sketch is not null").select("node", "n_shingles", "sketch.bands", "sketch.packed").dropDuplicates(["node", "n_shingles"]), "own")
 
     postings = own.select("node", F.explode("bands").alias("slot"))
-    shared = postings.groupBy("slot").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("last > leader").select("slot", "leader")
-    near = postings.join(shared, "slot").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    shared = table(postings.groupBy("slot").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("last > leader").select(F.col("slot").alias("s"), "leader"), "shared")
+    near = postings.join(shared, F.col("slot") == F.col("s")).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
     groups = table(components(near), "groups")
+    drop(shared)
+    free(docs.sparkSession)
 
     bits = docs.sparkSession.sparkContext.broadcast(keyfilter.build(groups.select("node")))
     sets = source.where("doc_id is not null").mapInArrow(_sets(bits), "node long, shingles binary")
-    per = own.join(groups, "node").groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    per = per.select("component", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = groups.join(per, "component").join(own.select("node", "n_shingles", "packed"), "node").join(sets, "node").where(F.octet_length("shingles") == 8 * F.col("n_shingles"))
-    members = members.select("component", "node", "packed", "shingles", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    members = members.dropDuplicates(["component", "node", "packed"])
-    paired = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    paired = paired.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "packed", "shingles")
-    blocks = paired.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    members = table(_parts(own, groups), "members")
+    full = members.join(own.select(F.col("node").alias("o"), "n_shingles", "packed"), F.col("node") == F.col("o")).drop("o")
+    full = full.join(sets.withColumnRenamed("node", "o"), (F.col("node") == F.col("o")) & (F.octet_length("shingles") == 8 * F.col("n_shingles"))).dropDuplicates(["part", "node", "packed"])
+    paired = full.select("part", "block", "node", "packed", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    paired = paired.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "packed", "shingles")
+    blocks = paired.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
     links = components(blocks.mapInArrow(_blocks(similarity), "a long, b long"))
+    drop(members)
+    drop(groups)
 
     result = sketches.select("doc_id", "n_shingles", "key1", "key2").join(nodes, ["key1", "key2", "n_shingles"], "left").join(links, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node", "doc_id"))
@@ -223,7 +250,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` of which one document of each component stays, the one with the smallest id."""
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone__")).distinct()
-    return docs.join(gone, named(id_col).cast("long") == F.col("__gone__"), "left_anti")
+    return without(docs, gone, id_col)
 
 
 ORACLE = r"""
