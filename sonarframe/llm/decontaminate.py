@@ -13,7 +13,7 @@ document holds verbatim have a whole window in them.  Items too short for edits
 tell them from chance are then looked for verbatim, at word boundaries.
 
 The benchmark is the query set: it's taken in blocks of bounded size, each
-broadcast against all documents.
+broadcast against all documents, which are read once.  A worker holds one block.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonarframe.llm import textnum as N
-from sonarframe.llm.shared import id_text, named
+from sonarframe.llm.kneser_ney import once
+from sonarframe.llm.shared import id_text, named, settle, without
 from sonarframe.llm.table import KeyTable
 
 Q, EDIT_RATE = 10, 0.06
@@ -35,8 +37,9 @@ LEAST_CHARS = 30
 #: Characters of a region, and how far apart regions of an item begin.
 REGION, STRIDE = 50, 11
 #: Characters of benchmark items that are broadcast at once.
-BLOCK_CHARS = 8_000_000
-SLICE_CHARS = 1 << 19
+BLOCK_CHARS = 500_000
+#: Characters and documents of text that are searched at once, and bands that text positions are expanded to at once.
+SLICE_CHARS, SLICE_DOCS, MOST_EXPANDED = 1 << 18, 1 << 12, 1 << 20
 
 
 def normalise(text: str) -> str:
@@ -79,7 +82,12 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int)
 
 
 class Items:
-    """One block of benchmark items with the index of their q-grams."""
+    """One block of benchmark items with the index of their q-grams.
+
+    Places of a q-gram in a pattern that are nearer to each other than a band is wide
+    are one run: what a text's q-gram meets is a range of diagonals, so that a line of
+    one character costs a few bands and not its square.
+    """
 
     def __init__(self, items: list[tuple[int, str]], rate: float = EDIT_RATE, q: int = Q, region: int | None = None):
         self.q = q
@@ -88,7 +96,13 @@ class Items:
         patterns = [(i, t) for i, t in whole if len(t) >= least]
         n = len(patterns)
         if region:
-            patterns += [(i, t[at : at + region]) for i, t in patterns for at in sorted({*range(0, len(t) - region, STRIDE), len(t) - region}) if len(t) > region]
+            seen: set[tuple[int, bytes]] = set()
+            for i, t in patterns[:n]:
+                for at in sorted({*range(0, len(t) - region, STRIDE), len(t) - region}) if len(t) > region else ():
+                    part = t[at : at + region]
+                    if (i, part.tobytes()) not in seen:
+                        seen.add((i, part.tobytes()))
+                        patterns.append((i, part))
         self.whole = np.arange(len(patterns)) < n
         self.ids, self.texts = [i for i, _ in patterns], [t for _, t in patterns]
         self.owner = np.unique(np.array(self.ids, dtype=np.int64), return_inverse=True)[1]  # patterns of one item have one number
@@ -100,13 +114,32 @@ class Items:
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, dtype=np.int64)
         every = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
-        by = np.argsort(every, kind="stable")
-        self.keys, self.first, self.count = np.unique(every[by], return_index=True, return_counts=True)
-        self.item, self.place = item[by], place[by]
+        by = np.lexsort((place, item, every))
+        every, item, place = every[by], item[by], place[by]
+        new = np.ones(len(every), dtype=bool)
+        new[1:] = (every[1:] != every[:-1]) | (item[1:] != item[:-1]) | (np.diff(place) > self.budgets[item[1:]])
+        heads = np.flatnonzero(new)
+        self.item, self.low = item[heads], place[heads]
+        self.high = place[np.append(heads[1:], len(place)) - 1] if len(heads) else self.low
+        self.keys, self.first, self.count = np.unique(every[heads], return_index=True, return_counts=True)
+        spread = (self.high - self.low) // (self.budgets[self.item] + 1) + 3
+        self.weight = np.add.reduceat(spread, self.first) if len(self.first) else spread
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[(self.keys & np.uint64(self.bits.size - 1)).astype(np.int64)] = True
         self.table = KeyTable(self.keys)
 
+    def _bands(self, at: np.ndarray, found: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of (document, pattern, band) that text positions meet, and how many do."""
+        times = self.count[found]
+        entry = N.ranges(self.first[found], times)
+        item, place = self.item[entry], np.repeat(at, times)
+        step = self.budgets[item] + 1
+        # each diagonal counts in its band and in the one before
+        low = (place - self.high[entry]) // step - 1
+        each = (place - self.low[entry]) // step - low + 1
+        lead = np.repeat(owner[place] * len(self.ids) + item, each)
+        return np.unique((lead << 31) + N.ranges(low, each) + (1 << 30), return_counts=True)
+
     def search(self, text: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, edits, end) for occurrences in ``text``, whose documents ``owner`` tells."""
         hashes = gram_hashes(text, self.q)
@@ -115,19 +148,16 @@ class Items:
         at, found = at[found >= 0], found[found >= 0]
         if not len(at):
             return
-        times = self.count[found]
-        entry = N.ranges(self.first[found], times)
-        item = self.item[entry]
-        diagonal = np.repeat(at, times) - self.place[entry]
-        step = self.budgets[item] + 1
-        # one key per (document, item, band); each diagonal counts in its band and in the one before
-        document = np.repeat(owner[at], times)
-        band = diagonal // step
-        shift = np.int64(1 << 31)
-        lead = document * len(self.ids) + item
-        keys = np.concatenate([lead * shift + (band + (1 << 30)), lead * shift + (band - 1 + (1 << 30))])
-        keys, n = np.unique(keys, return_counts=True)
-        lead, band = keys // shift, keys % shift - (1 << 30)
+        # some positions at a time, by what they expand to
+        cost = np.cumsum(self.weight[found])
+        cuts = np.searchsorted(cost, np.arange(MOST_EXPANDED, int(cost[-1]) + MOST_EXPANDED, MOST_EXPANDED))
+        each = [self._bands(at[a:b], found[a:b], owner) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]) if a < b]
+        if len(each) == 1:
+            keys, n = each[0]
+        else:
+            keys, where = np.unique(np.concatenate([k for k, _ in each]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([c for _, c in each]), len(keys)).astype(np.int64)
+        lead, band = keys >> 31, (keys & ((1 << 31) - 1)) - (1 << 30)
         keep = n >= np.maximum(self.least[lead % len(self.ids)], 1)
         lead, band, n = lead[keep], band[keep], n[keep]
         seen: set[int] = set()
@@ -200,47 +230,48 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     are found verbatim (without ``region`` they're in nothing).  Null and empty texts
     contain nothing; null and blank items are in nothing; an empty benchmark or table of documents gives no rows.  A pair is given once per row of ``docs``.
     """
-    source = id_text(docs, id_col, text_col).where("text is not null")
-    spark = docs.sparkSession
-    out = spark.createDataFrame([], FOUND)
-
-    def search(items: list[tuple[int, str]]) -> DataFrame:
-        block = spark.sparkContext.broadcast(Items(items, edit_rate, q, region))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = block.value
-            for batch in batches:
-                ids, texts = batch.column("doc_id"), batch.column("text")
-                row, rows = 0, []
-                while row < batch.num_rows and (known.ids or known.short.lengths):
-                    parts, size, first = [], 0, row
-                    while row < batch.num_rows and (size < SLICE_CHARS or row == first):
-                        parts.append(normalise(texts[row].as_py()) + "\n")
-                        size += len(parts[-1])
-                        row += 1
-                    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                    text = points("".join(parts))
-                    for d, i, end in known.short.search(text, owner):
-                        rows.append((ids[first + d].as_py(), i, True, 0, end, 1.0))
-                    for d, k, edits, end in known.search(text, owner) if known.ids else ():
-                        rows.append((ids[first + d].as_py(), known.ids[k], True, edits, end, 1 - edits / int(known.lengths[k])))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "contaminated", "edits", "passage_end", "similarity"])
-
-        return source.mapInArrow(run, FOUND)
-
-    block: list[tuple[int, str]] = []
+    source, spark = id_text(docs, id_col, text_col).where("text is not null"), docs.sparkSession
+    settle(spark)
+    blocks: list[Broadcast] = []
+    held: list[tuple[int, str]] = []
     size = 0
     for item in benchmark.select(named(item_col).cast("long").alias("i"), named(item_text_col).cast("string").alias("t")).where("i is not null and t is not null").toLocalIterator():
-        block.append((item.i, item.t))
+        held.append((item.i, item.t))
         size += len(item.t)
         if size >= BLOCK_CHARS:
-            out = out.unionByName(search(block))
-            block, size = [], 0
-    return out.unionByName(search(block)) if block else out
+            blocks.append(spark.sparkContext.broadcast(Items(held, edit_rate, q, region)))
+            held, size = [], 0
+    if held:
+        blocks.append(spark.sparkContext.broadcast(Items(held, edit_rate, q, region)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_pylist()
+            parts = list(_slices(batch.column("text")))
+            for block in blocks:
+                known, rows = block.value if len(blocks) == 1 else once(block), []
+                for first, owner, text in parts:
+                    rows += [(ids[first + d], i, True, 0, end, 1.0) for d, i, end in known.short.search(text, owner)]
+                    if known.ids:
+                        rows += [(ids[first + d], known.ids[k], True, edits, end, 1 - edits / int(known.lengths[k])) for d, k, edits, end in known.search(text, owner)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.float64()))], ["doc_id", "item_id", "contaminated", "edits", "passage_end", "similarity"])
+
+    return source.mapInArrow(run, FOUND)
+
+
+def _slices(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, document of each character, characters of some normalised texts, each with a line's end after it."""
+    parts, size, first = [], 0, 0
+    for row in range(len(column)):
+        parts.append(normalise(column[row].as_py()) + "\n")
+        size += len(parts[-1])
+        if size >= SLICE_CHARS or len(parts) == SLICE_DOCS or row == len(column) - 1:
+            yield first, np.repeat(np.arange(len(parts)), [len(p) for p in parts]), points("".join(parts))
+            parts, size, first = [], 0, row + 1
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that contain no benchmark item and no region of one, with all their columns; rows with a null id stay."""
     gone = passages(docs, benchmark, id_col, text_col, region=REGION).select(F.col("doc_id").alias("__gone__")).distinct()
-    return docs.join(gone, named(id_col).cast("long") == F.col("__gone__"), "left_anti")
+    return without(docs, gone, id_col)
