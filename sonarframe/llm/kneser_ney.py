@@ -82,10 +82,10 @@ def count(labelled: DataFrame, order: int = ORDER) -> DataFrame:
                 positive = np.bincount(where, yes, len(keys)).astype(np.int64)
                 held.append((keys, positive, total - positive))
                 size += len(keys)
-                if size > 800_000:
+                if size > 400_000:
                     held, size = [merged()], 0
                     size = len(held[0][0])
-                    if size > 600_000:
+                    if size > 300_000:
                         yield _counts(*held[0])
                         held, size = [], 0
         if held:

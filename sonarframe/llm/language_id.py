@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sonarframe.llm import textnum as N
 from sonarframe.llm.kneser_ney import BLOCK_BYTES, SLICE_BYTES, _grams, blocks, codes, distinct, once
-from sonarframe.llm.shared import drop, held_out, id_text, named, table
+from sonarframe.llm.shared import drop, held_out, id_text, named, settle, table
 
 ORDER, HASHES = 5, 3
 #: n-grams in a shard, about, for up to 8 languages (fewer for more): there are as many shards as the n-grams need.
@@ -57,7 +57,7 @@ def count(labelled: DataFrame, order: int = ORDER) -> DataFrame:
                     u, n = np.unique(keys[of == i], return_counts=True)
                     held.setdefault(lang, []).append((u, n))
                     size += len(u)
-            if size > 1_000_000:
+            if size > 500_000:
                 yield from merged()
                 held, size = {}, 0
         yield from merged()
@@ -193,6 +193,7 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     nothing to learn from.  The score is the winner's corrected and weighted share; equal shares go
     to the language with more learned rows, then to the first by name.
     """
+    settle(docs.sparkSession)
     rows = id_text(docs, id_col, text_col)
     known = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).cast("string").alias("text"), named(lang_col).cast("string").alias("lang"))
     known = known.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonarframe.llm import textnum as N
-from sonarframe.llm.shared import drop, id_text, table
+from sonarframe.llm.shared import drop, id_text, settle, table
 from sonarframe.llm.table import KeyTable
 
 CAPACITY, END_ID = 2048, 0
@@ -151,6 +151,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids a
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and (``with_ids``) the ids of each piece; a null text is empty."""
     path = tokenizer or default_tokenizer()
+    settle(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)

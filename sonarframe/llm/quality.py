@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonarframe.llm import textnum as N
-from sonarframe.llm.shared import held_out, id_text, named
+from sonarframe.llm.shared import held_out, id_text, named, settle
 
 TERMS, SHAPES, RANK = 2048, 8, 64
 #: Labelled rows that are sampled, by hash of the id: what is fitted on and broadcast.
@@ -124,6 +124,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     empty, and empty texts are scored by the empty vector's neighbours.  Without any
     label every score is 0.5.
     """
+    settle(docs.sparkSession)
     rows = id_text(docs, id_col, text_col)
     known = labels.select(named(id_col).cast("long").alias("doc_id"), named(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
     space = docs.sparkSession.sparkContext.broadcast(fit(rows, known.where(~held_out(F.col("doc_id")))))

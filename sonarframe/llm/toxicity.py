@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sonarframe.llm import keyfilter
 from sonarframe.llm import textnum as N
 from sonarframe.llm.kneser_ney import SHARD_GRAMS, SLICE_BYTES, Model, logistic, train
-from sonarframe.llm.shared import held_out, id_text, named
+from sonarframe.llm.shared import MOST_IDS, held_out, id_text, named, settle, table, without
 
 #: Lengths in bytes over which differences are averaged.
 PASSAGES = (6, 10, 16, 32)
@@ -60,12 +60,17 @@ class Classifier:
 def fit(docs: DataFrame, known: DataFrame, shard_grams: int = SHARD_GRAMS) -> Classifier | None:
     """From docs (doc_id, text) and known (doc_id, label): three quarters of the labelled rows give the counts, of the rest a sample the calibration.
 
-    None if the calibration lacks a class.  Only labelled texts are shuffled, and the
-    sample's identifiers are few enough to broadcast.
+    None if the calibration lacks a class.  Up to MOST_IDS labels are broadcast to their texts; beyond that only
+    labelled texts are shuffled.  The sample's identifiers are few enough to broadcast.
     """
     part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    known = table(known, "labels")
     counted = known.where(part > 0)
-    model = train(keyfilter.some(docs, counted.select("doc_id")).join(counted, "doc_id"), shard_grams=shard_grams)
+    if known.count() <= MOST_IDS:
+        labelled = docs.join(F.broadcast(counted), "doc_id")
+    else:
+        labelled = keyfilter.some(docs, counted.select("doc_id")).join(counted, "doc_id")
+    model = train(labelled, shard_grams=shard_grams)
     sample = known.where(part == 0).orderBy(F.xxhash64(F.col("doc_id") + 1), "doc_id").limit(MAX_CALIBRATION)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +94,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     and empty texts are scored as texts without passages.  If either class is missing
     in the labels, every score is 0.
     """
+    settle(docs.sparkSession)
     rows = id_text(docs, id_col, text_col)
     known = labels.select(named(id_col).cast("long").alias("doc_id"), named(label_col).cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
     source = id_text(train_docs, id_col, text_col) if train_docs is not None else rows
@@ -106,4 +112,4 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that aren't rejected, with all their columns; rows with a null id stay."""
     gone = score(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("__gone__")).distinct()
-    return docs.join(gone, named(id_col).cast("long") == F.col("__gone__"), "left_anti")
+    return without(docs, gone, id_col)
