@@ -33,7 +33,7 @@ DEME, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 600, 2, 2, 6, 5
 FREE = (6, 24)
 _MARK = b"<|"
 #: Distinct words whose tokens a worker keeps.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 3_000_000
 
 
 def default_tokenizer() -> str:
