@@ -137,8 +137,8 @@ def test_aiff():
 @pytest.mark.parametrize("seed", range(40))
 def test_remix(seed):
     grid = remix.Grid(64, 4, 16)
-    r = remix.generate(grid, seed, list(remix.STYLES)[seed % 9], activity=70, depth=80, profile=list(remix.PROFILES)[seed % 9])
-    assert remix.signature(r, grid) == remix.signature(remix.generate(grid, seed, list(remix.STYLES)[seed % 9], activity=70, depth=80, profile=list(remix.PROFILES)[seed % 9]), grid)
+    r = remix.generate(grid, seed, list(remix.STYLES)[seed % 9], activity=70, depth=80, profile=list(remix.PROFILES)[seed % 8])
+    assert remix.signature(r, grid) == remix.signature(remix.generate(grid, seed, list(remix.STYLES)[seed % 9], activity=70, depth=80, profile=list(remix.PROFILES)[seed % 8]), grid)
     assert remix.departure(r) > 0 and all(0 <= s.src < 64 for s in r["steps"])
     if seed < 4:
         x = beat(120, 8)
