@@ -96,3 +96,9 @@ def degree_offsets(mode_name, most: int = 7) -> Column:
     """array<struct(degree, semitones)> for -most..most without 0."""
     degrees = F.filter(F.sequence(F.lit(-most), F.lit(most)), lambda d: d != 0)
     return F.transform(degrees, lambda d: F.struct(d.alias("degree"), degree_semitones(mode_name, d).alias("semitones")))
+
+
+def resolve_key(root, mode_name) -> Column:
+    """struct(root, mode, known): a note's usual name or null, the mode (minor if there is none), whether the root is a note."""
+    index = note_index(root)
+    return F.struct(F.when(index.isNotNull(), note_name(index)).alias("root"), F.coalesce(mode(mode_name), F.lit("minor")).alias("mode"), index.isNotNull().alias("known"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sonarframe.functions.columns import col
+from sonarframe.functions.columns import col, let
 from sonarframe.functions.numbers import clamp, half_up, positive_or_null
 
 MOST_BPM = 100_000.0
@@ -45,6 +45,17 @@ def feel_target(bpm, feel) -> Column:
     return F.when(col(bpm) > 0, col(bpm) / feel_length(feel)).otherwise(col(bpm))
 
 
+#: Labels of the feels other than the normal one.
+FEEL_LABELS = {"quarter": "¼ time", "half": "½ time", "double": "2× time", "quadruple": "4× time"}
+
+
+def format_feel(feel, bpm) -> Column:
+    """The feel's label and the tempo that it makes of a target; null for the normal feel and unknown ones."""
+    label = F.try_element_at(F.create_map(*(F.lit(x) for kv in FEEL_LABELS.items() for x in kv)), col(feel))
+    made = feel_target(bpm, feel)
+    return F.when(made > 0, F.concat(label, F.lit(" · "), half_up(made).cast("long").cast("string"), F.lit(" BPM"))).otherwise(label)
+
+
 def bars_to_seconds(bars, bpm, beats_per_bar: int = 4) -> Column:
     return F.when((col(bpm) > 0) & (col(bars) > 0), col(bars) * beats_per_bar * (60 / F.nullif(col(bpm), F.lit(0))))
 
@@ -65,32 +76,38 @@ def better_octave(bpm, target) -> Column:
     return F.when(far(double) < best - 0.15, double).when(half_wins, half)
 
 
-def _nearest(candidates: Column, x: Column) -> Column:
-    """The nearest of an array; of equally near ones the first."""
-    return F.get(F.array_sort(F.transform(candidates, lambda c, i: F.struct(F.abs(c - x).alias("far"), i.alias("i"), c.alias("c")))), F.lit(0)).getField("c")
+def _step_to(x: Column, bounds: tuple[tuple[float, float], ...], last: float) -> Column:
+    """The value of the first bound that ``x`` doesn't exceed, else ``last``."""
+    out = F.when(x <= bounds[0][0], bounds[0][1])
+    for bound, value in bounds[1:]:
+        out = out.when(x <= bound, value)
+    return out.otherwise(last)
 
 
 def loop_snap(duration, bpm) -> Column:
     """struct(bpm, beats): the tempo at which a loop lasts a musical number of beats, if that is within 2.5 %.
 
-    Tried in turn: powers of two, whole bars, the even numbers next to it, the nearest number.
+    Tried in turn: powers of two, whole bars, the even numbers next to it, the nearest
+    number.  Of equally near ones the lesser is taken.
     """
-    duration, bpm = positive_or_null(duration), positive_or_null(bpm)
-    beats = duration * bpm / 60
-    near = half_up(beats)
-    even = near - near % 2
-    tiers = [
-        F.array(*(F.lit(float(1 << i)) for i in range(11))),
-        F.array(*(F.lit(float(b)) for b in WHOLE_BARS)),
-        F.when(near % 2 == 0, F.array(near.cast("double"))).otherwise(F.filter(F.array((near - 1).cast("double"), (near + 1).cast("double")), lambda b: b >= 1)),
-        F.array(near.cast("double")),
-    ]
-    out = []
-    for tier in tiers:
-        best = _nearest(tier, beats)
-        snapped = best * 60 / duration
-        out.append(F.when((best >= 1) & (F.abs(snapped / bpm - 1) <= SNAP_DRIFT), F.struct(snapped.alias("bpm"), best.alias("beats"))))
-    return F.when(beats >= 0.5, F.coalesce(*out))
+
+    def snap(given: Column) -> Column:
+        beats = given["duration"] * given["bpm"] / 60
+        near = half_up(beats)
+        octave = F.greatest(F.lit(0.0), F.least(F.lit(9.0), F.floor(F.log2(F.greatest(beats, F.lit(1.0))))))
+        low = F.pow(F.lit(2.0), octave)
+        power = F.when(beats - low <= 2 * low - beats, low).otherwise(2 * low)
+        whole = _step_to(beats, tuple(((a + b) / 2, float(a)) for a, b in zip(WHOLE_BARS, WHOLE_BARS[1:])), float(WHOLE_BARS[-1]))
+        odd = near % 2 == 1
+        even = F.when(~odd, near).when((beats - (near - 1) <= near + 1 - beats) & (near > 1), near - 1).otherwise(near + 1)
+        out = []
+        for best in (power, whole, even, near):
+            best = best.cast("double")
+            snapped = best * 60 / given["duration"]
+            out.append(F.when((best >= 1) & (F.abs(snapped / given["bpm"] - 1) <= SNAP_DRIFT), F.struct(snapped.alias("bpm"), best.alias("beats"))))
+        return F.when(beats >= 0.5, F.coalesce(*out))
+
+    return let(F.struct(positive_or_null(duration).alias("duration"), positive_or_null(bpm).alias("bpm")), snap)
 
 
 def interpretations(bpm, low: int = 30, high: int = 300) -> Column:

@@ -1,7 +1,7 @@
 """Kernels as column functions: Arrow-batched, one whole signal a row.
 
-``SIGNAL`` columns are array<float>.  Rows can be large, so set
-``spark.sql.execution.arrow.maxRecordsPerBatch`` low for minutes of audio.
+Signal columns are array<float>; signals stay numpy arrays on their way to and from
+Arrow.  ``bounded`` limits the bytes of an Arrow batch, as rows can hold minutes of audio.
 """
 
 from __future__ import annotations
@@ -14,7 +14,17 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from sonarframe.kernels import analysis, primitives, stages, stretch
+from sonarframe.kernels import analysis, estimate, primitives, stages, stretch
+
+BATCH_BYTES = 32 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES (or one row), unless the session sets its own limit."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
 
 REGIONS = "array<struct<start:double,end:double>>"
 
@@ -38,7 +48,7 @@ def signal_udf(f: Callable[[np.ndarray], object], kind: str) -> Callable[..., Co
 
 
 def envelope(rate: float, window_ms: float = 25, hop_ms: float = 10):
-    return signal_udf(lambda x: analysis.envelope(x, rate, window_ms, hop_ms)[1].tolist(), "array<double>")
+    return signal_udf(lambda x: analysis.envelope(x, rate, window_ms, hop_ms)[1], "array<double>")
 
 
 def onsets(rate: float, sensitivity: float = 0.65, spacing: float = 0.12):
@@ -69,6 +79,11 @@ def one_shots(rate: float):
     return signal_udf(lambda x: analysis.one_shots(x, rate), "array<struct<start:double,end:double,low:double,mid:double,high:double,peak:double,label:string,fingerprint:array<double>>>")
 
 
+def key_and_tempo(rate: float, key: bool = True, tempo: bool = True):
+    """struct(key, scale, strength, bpm): what ``kernels.estimate`` finds, null for what isn't wanted or clear."""
+    return signal_udf(lambda x: estimate.key_and_tempo(x, rate, key, tempo), "struct<key:string,scale:string,strength:double,bpm:double>")
+
+
 def features(rate: float):
     """Loudness, flatness, band levels and fingerprint."""
 
@@ -80,7 +95,7 @@ def features(rate: float):
 
 
 def _mono(f: Callable[[list[np.ndarray]], list[np.ndarray]]) -> Callable[..., Column]:
-    return signal_udf(lambda x: f([x])[0].tolist(), "array<float>")
+    return signal_udf(lambda x: np.asarray(f([x])[0], dtype=np.float32), "array<float>")
 
 
 def stretched(rate: float, ratio: float, character: str = stretch.DEFAULT_CHARACTER, macros: dict | None = None, seed: int = 1):

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sonarframe.functions import levels, music, tempo
+from sonarframe.functions import levels, music, tempo, udf
 from sonarframe.functions.columns import col
 from sonarframe.kernels import analysis, stretch
 
@@ -139,9 +139,19 @@ def rendered(planned: DataFrame) -> DataFrame:
     """(file, channels) of planned rows (file, sample_rate, channels, plan) that change; one whole signal a row."""
     rows = planned.where("plan.changes_audio or plan.align.enabled").select("file", "sample_rate", "channels", F.col("plan.tempo.ratio").alias("ratio"), F.col("plan.pitch.semitones").alias("semitones"), F.col("plan.method.key").alias("character"), F.when(F.col("plan.align.enabled"), F.col("plan.tempo.source_bpm")).alias("align_bpm"), F.col("plan.align.output_bpm").alias("output_bpm"))
 
+    udf.bounded(planned.sparkSession)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            made = [[c.tolist() for c in render([np.asarray(x) for x in r.channels], r.sample_rate, r.ratio, r.semitones, METHODS[r.character][1], r.align_bpm if r.align_bpm == r.align_bpm else None, r.output_bpm)] for r in frame.itertuples()]
-            yield pd.DataFrame({"file": frame["file"], "channels": made})
+            for i, r in enumerate(frame.itertuples()):
+                made = render([np.asarray(x) for x in r.channels], r.sample_rate, r.ratio, r.semitones, METHODS[r.character][1], r.align_bpm if r.align_bpm == r.align_bpm else None, r.output_bpm)
+                yield pd.DataFrame({"file": frame["file"].iloc[i : i + 1].to_list(), "channels": [[np.asarray(c, dtype=np.float32) for c in made]]})
 
     return rows.mapInPandas(run, f"file {planned.schema['file'].dataType.simpleString()}, channels array<array<float>>")
+
+
+def format_target(bpm, key, mode, pitch_enabled) -> Column:
+    """``126 BPM / E minor``: the parts of a target that are ready, or that there is none yet."""
+    ready = target_readiness(bpm, key, pitch_enabled)
+    shown = F.concat_ws(" / ", F.when(ready["tempo"], F.concat(F.floor(col(bpm) + 0.5).cast("long").cast("string"), F.lit(" BPM"))), F.when(ready["pitch"], music.format_key(key, mode)))
+    return F.when(shown == "", F.lit("no target yet")).otherwise(shown)

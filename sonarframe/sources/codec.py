@@ -7,12 +7,14 @@ column and no job fails on it.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from sonarframe.functions import udf
+
 SIGNAL = "path string, sample_rate int, channels array<array<float>>, error string"
 
 
@@ -114,26 +116,40 @@ def encode_wav(channels: list[np.ndarray], rate: int, bits: int = 24, cues: list
     return b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WAVE" + body
 
 
-def decode_bytes(raw: bytes, ext: str = "") -> tuple[int, np.ndarray]:
+#: Decoders of other formats by extension, each from bytes to (sample rate, channels by samples).
+DECODERS: dict[str, Callable[[bytes], tuple[int, np.ndarray]]] = {}
+
+
+def register_decoder(ext: str, decoder: Callable[[bytes], tuple[int, np.ndarray]]) -> None:
+    """Files with the extension go to ``decoder``, which must be importable by workers or picklable; ValueError is a bad file."""
+    DECODERS[ext.lower()] = decoder
+
+
+def decode_bytes(raw: bytes, ext: str = "", decoders: dict | None = None) -> tuple[int, np.ndarray]:
     if raw[:4] == b"RIFF":
         return parse_wav(raw)
     if raw[:4] == b"FORM":
         return parse_aiff(raw)
+    other = (DECODERS if decoders is None else decoders).get(ext.lower())
+    if other:
+        return other(raw)
     raise Unsupported(f"no decoder for {ext or 'this format'}")
 
 
 def decode(files: DataFrame) -> DataFrame:
     """path, sample_rate, channels, error of (path, content)."""
 
+    udf.bounded(files.sparkSession)
+    decoders = dict(DECODERS)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for path, raw in zip(frame["path"], frame["content"]):
                 try:
-                    rate, x = decode_bytes(bytes(raw), path.rpartition(".")[2])
-                    out.append((path, rate, [c for c in x], None))
+                    rate, x = decode_bytes(bytes(raw), path.rpartition(".")[2], decoders)
+                    row = (path, rate, [np.asarray(c, dtype=np.float32) for c in x], None)
                 except (ValueError, struct.error) as e:
-                    out.append((path, None, None, str(e)))
-            yield pd.DataFrame({k: [o[i] for o in out] for i, k in enumerate(("path", "sample_rate", "channels", "error"))}).astype({"sample_rate": "Int32"})
+                    row = (path, None, None, str(e))
+                yield pd.DataFrame([row], columns=["path", "sample_rate", "channels", "error"]).astype({"sample_rate": "Int32"})
 
     return files.select("path", "content").mapInPandas(run, SIGNAL)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sonarframe.functions import udf
 from sonarframe.functions.columns import col
 
 EXTENSIONS = (".wav", ".m4a", ".aif", ".aiff", ".flac", ".mp3")
@@ -74,7 +77,6 @@ def zip_folder(names: Iterable[str], blobs: Iterable[bytes]) -> bytes:
 
 def zipped(outputs: DataFrame) -> DataFrame:
     """(folder, archive) of outputs (folder, name, content): one archive a folder."""
-    import pandas as pd
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("name")
@@ -88,13 +90,49 @@ def to_write(outputs: DataFrame, dry_run: bool = False) -> DataFrame:
     return outputs.where(F.lit(not dry_run) & F.coalesce(F.col("included"), F.lit(True)) & F.coalesce(F.col("export_included"), F.lit(True)))
 
 
-def write(outputs: DataFrame, root: str) -> None:
-    """Write (directory, name, content) rows below ``root`` through Hadoop's file system, whichever it is.
+def write(outputs: DataFrame, root: str) -> DataFrame:
+    """Write (directory, name, content) rows as files below ``root``, a path or URI of any file system that Arrow knows; (path, bytes) of each.
 
-    Executors hand each file to the table writer: one row group a file isn't needed, so the blobs
-    are stored as a Parquet table partitioned by directory, which every reader of the lake opens.
+    A file is written beside its place and then moved there, so a task that's run again
+    or lost leaves no half file; equal paths are the caller's to avoid (``claim_names``).
     """
-    outputs.select("directory", "name", "content").write.mode("overwrite").partitionBy("directory").parquet(root)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for frame in frames:
+            done = []
+            for directory, name, content in zip(frame["directory"], frame["name"], frame["content"]):
+                folder = "/".join(x for x in (base.rstrip("/"), directory.strip("/")) if x)
+                store.create_dir(folder, recursive=True)
+                part = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, f"{folder}/{name}")
+                done.append((f"{folder}/{name}", len(content)))
+            yield pd.DataFrame(done, columns=["path", "bytes"])
+
+    udf.bounded(outputs.sparkSession)
+    return outputs.select("directory", "name", "content").mapInPandas(run, "path string, bytes long")
+
+
+def remove(gone: DataFrame, root: str) -> DataFrame:
+    """Delete the files (directory, name) below ``root`` that are there; (path, removed) of each."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        for frame in frames:
+            paths = ["/".join(x for x in (base.rstrip("/"), d.strip("/"), n) if x) for d, n in zip(frame["directory"], frame["name"])]
+            there = [i.type == fs.FileType.File for i in store.get_file_info(paths)]
+            for path, found in zip(paths, there):
+                if found:
+                    store.delete_file(path)
+            yield pd.DataFrame({"path": paths, "removed": there})
+
+    return gone.select("directory", "name").mapInPandas(run, "path string, removed boolean")
 
 
 def stale(existing: DataFrame, targets: DataFrame) -> DataFrame:
