@@ -10,6 +10,7 @@ from sonarframe.functions.numbers import half_up
 
 #: Slices in a bar by subdivision.
 SUBDIVISIONS = {"1bar": 1, "1/2bar": 2, "1/4": 4, "1/8": 8, "1/16": 16, "1/32": 32}
+SUBDIVISION_LABELS = {"1bar": "1 bar", "1/2bar": "½ bar"}
 DEFAULT_SUBDIVISION = "1/16"
 MOST_SLICES, LEAST_SLICES, LEAST_SAMPLES, TOLERANCE = 512, 4, 32, 0.02
 LEVELS = ("phrase", "bar", "halfBar", "beat", "halfBeat", "slice", "micro")
@@ -73,6 +74,12 @@ def readiness(count, samples, shortest, aligned, timed) -> Column:
     return F.struct(reason.isNull().alias("ok"), reason.alias("reason"), warning.alias("warning"))
 
 
+def chop_label(subdivision) -> Column:
+    """The subdivision as shown: itself but for whole and half bars, empty for none."""
+    labels = F.create_map(*(F.lit(x) for kv in SUBDIVISION_LABELS.items() for x in kv))
+    return F.coalesce(F.try_element_at(labels, col(subdivision)), col(subdivision), F.lit(""))
+
+
 def describe(count, bar_slices, bpm) -> Column:
     bars = col(count) / col(bar_slices)
     whole = half_up(bars)
@@ -92,16 +99,17 @@ def level_exists(level: str, count, slices_per_beat, slices_per_bar) -> Column:
 
 
 def hierarchy(slices: DataFrame, keys: list[str], levels: tuple[str, ...] = LEVELS) -> DataFrame:
-    """Nodes of every level: tumbling groups of slices, unioned."""
-    out = None
-    for level in levels:
-        span = level_span(level, "count", "per_beat", "per_bar")
-        rows = slices.where(level_exists(level, "count", "per_beat", "per_bar") & (span > 0)).withColumn("index", F.floor(F.col("slice") / span).cast("int"))
-        first = lambda c: F.min_by(c, "slice")
-        nodes = rows.groupBy(*keys, "index").agg(F.min("slice").alias("start"), (F.max("slice") + 1).alias("end"), first("is_downbeat").alias("is_downbeat"), first("is_beat").alias("is_beat"), first("strength").alias("strength"), F.max("count").alias("count"), F.max("per_bar").alias("per_bar"))
-        nodes = nodes.select(*keys, F.lit(level).alias("level"), "index", "start", "end", ((F.col("end") % F.col("per_bar") == 0) | (F.col("end") >= F.col("count"))).alias("ends_bar"), (F.col("end") >= F.col("count")).alias("ends_phrase"), "is_downbeat", "is_beat", "strength")
-        out = nodes if out is None else out.unionByName(nodes)
-    return out
+    """Nodes of every level of files (count, per_beat, per_bar; rows of a slice map will do): arithmetic on one row a file, so nothing is shuffled."""
+    files = (slices.where("slice = 0") if "slice" in slices.columns else slices).select(*keys, "count", "per_beat", "per_bar")
+    spans = [F.struct(F.lit(level).alias("level"), level_span(level, "count", "per_beat", "per_bar").alias("span"), level_exists(level, "count", "per_beat", "per_bar").alias("exists")) for level in levels]
+    nodes = files.select("*", F.explode(F.array(*spans)).alias("l")).where("l.exists and l.span > 0")
+    nodes = nodes.select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("count") / F.col("l.span")).cast("int") - 1)).alias("index"))
+    nodes = nodes.withColumn("start", F.col("index") * F.col("l.span")).withColumn("end", F.least(F.col("start") + F.col("l.span"), "count"))
+    in_bar = F.pmod("start", "per_bar")
+    return nodes.select(
+        *keys, "l.level", "index", "start", "end", ((F.col("end") % F.col("per_bar") == 0) | (F.col("end") >= F.col("count"))).alias("ends_bar"), (F.col("end") >= F.col("count")).alias("ends_phrase"),
+        (in_bar == 0).alias("is_downbeat"), (in_bar % F.col("per_beat") == 0).alias("is_beat"), metric_strength("start", "per_beat", "per_bar").alias("strength"),
+    )
 
 
 def appeal(bias: dict[str, float], ends_bar, ends_phrase, downbeat, beat, position) -> Column:

@@ -93,14 +93,14 @@ def onset_curve(spark, sf_dir):
 
 
 # 111
-@_query(f"""WITH {_E}, s AS (SELECT h, CAST(sum(CASE WHEN event_type = 'click' THEN CAST(value AS DECIMAL(12,2)) ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS b FROM e GROUP BY h),
-d AS (SELECT h, greatest(0, coalesce(log10(a + 1) - lag(log10(a + 1)) OVER (ORDER BY h), 0)) AS da, greatest(0, coalesce(log10(b + 1) - lag(log10(b + 1)) OVER (ORDER BY h), 0)) AS db FROM s),
-r AS (SELECT *, row_number() OVER (ORDER BY da) - 1 AS ra, row_number() OVER (ORDER BY db) - 1 AS rb, count(*) OVER () AS n FROM d),
-na AS (SELECT da AS v FROM r WHERE ra = CAST(floor((n - 1) * 0.82) AS BIGINT)), nb AS (SELECT db AS v FROM r WHERE rb = CAST(floor((n - 1) * 0.82) AS BIGINT))
-SELECT 0 AS k, h, round(da / greatest(1e-6, na.v) + d.db / greatest(1e-6, nb.v), 6) AS strength FROM d, na, nb""")
+@_query(f"""WITH {_E}, s AS (SELECT user_id AS k, h, CAST(sum(CASE WHEN event_type = 'click' THEN CAST(value AS DECIMAL(12,2)) ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS b FROM e GROUP BY user_id, h),
+d AS (SELECT k, h, greatest(0, coalesce(log10(a + 1) - lag(log10(a + 1)) OVER w, 0)) AS da, greatest(0, coalesce(log10(b + 1) - lag(log10(b + 1)) OVER w, 0)) AS db FROM s WINDOW w AS (PARTITION BY k ORDER BY h)),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY da) - 1 AS ra, row_number() OVER (PARTITION BY k ORDER BY db) - 1 AS rb, count(*) OVER (PARTITION BY k) AS n FROM d),
+na AS (SELECT k, da AS v FROM r WHERE ra = CAST(floor((n - 1) * 0.82) AS BIGINT)), nb AS (SELECT k, db AS v FROM r WHERE rb = CAST(floor((n - 1) * 0.82) AS BIGINT))
+SELECT k, h, round(da / greatest(1e-6, na.v) + d.db / greatest(1e-6, nb.v), 6) AS strength FROM d JOIN na USING (k) JOIN nb USING (k)""")
 def multi_band_onset_curve(spark, sf_dir):
     value = F.col("value").cast("decimal(12,2)")
-    rows = _events(spark, sf_dir).groupBy("h").agg(F.sum(F.when(F.col("event_type") == "click", value).otherwise(0)).cast("double").alias("a"), F.sum(value).cast("double").alias("b")).withColumn("k", F.lit(0))
+    rows = _events(spark, sf_dir).groupBy(F.col("user_id").alias("k"), "h").agg(F.sum(F.when(F.col("event_type") == "click", value).otherwise(0)).cast("double").alias("a"), F.sum(value).cast("double").alias("b"))
     return frames.combined_onset_curve(rows, ["k"], "h", ["a", "b"]).select("k", "h", r6("strength").alias("strength"))
 
 
@@ -225,20 +225,28 @@ _STRENGTH = "CASE WHEN i % 16 = 0 THEN 1.0::DOUBLE WHEN i % 4 <> 0 THEN CASE WHE
 
 
 # 134, 135, 120 in kind
-@_query(f"""WITH f AS (SELECT p_partkey, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS samples, 60 + p_size AS bpm FROM part), w AS (SELECT *, samples / 10000.0::DOUBLE / ((60::DOUBLE / bpm) * 4 / 16) AS want FROM f),
-n AS (SELECT *, greatest(16, floor(want / 16 + 0.5) * 16) AS nb, greatest(4, floor(want / 4 + 0.5) * 4) AS nq FROM w), c AS (SELECT *, CAST(greatest(1, least(512, CASE WHEN abs(want - nb) / want <= 0.02 THEN nb WHEN abs(want - nq) / want <= 0.02 THEN nq ELSE greatest(1, floor(want + 0.5)) END)) AS INTEGER) AS cnt, CASE WHEN abs(want - nb) / want <= 0.02 THEN 'bar' WHEN abs(want - nq) / want <= 0.02 THEN 'beat' ELSE 'slice' END AS aligned FROM n),
+_COUNTS = """f AS (SELECT p_partkey, CAST(floor(p_retailprice * 100 + 0.5) AS BIGINT) AS samples, 60 + p_size AS bpm FROM part), w AS (SELECT *, samples / 10000.0::DOUBLE / ((60::DOUBLE / bpm) * 4 / 16) AS want FROM f),
+n AS (SELECT *, greatest(16, floor(want / 16 + 0.5) * 16) AS nb, greatest(4, floor(want / 4 + 0.5) * 4) AS nq FROM w), c AS (SELECT *, CAST(greatest(1, least(512, CASE WHEN abs(want - nb) / want <= 0.02 THEN nb WHEN abs(want - nq) / want <= 0.02 THEN nq ELSE greatest(1, floor(want + 0.5)) END)) AS INTEGER) AS cnt, CASE WHEN abs(want - nb) / want <= 0.02 THEN 'bar' WHEN abs(want - nq) / want <= 0.02 THEN 'beat' ELSE 'slice' END AS aligned FROM n)"""
+
+
+def _part_files(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", half_up(F.col("p_retailprice") * 100).alias("samples"), F.lit(10000).alias("sample_rate"), (60 + F.col("p_size")).cast("double").alias("bpm"), F.lit("1/16").alias("subdivision"))
+
+
+@_query(f"""WITH {_COUNTS},
 x AS (SELECT *, unnest(range(0, cnt)) AS i FROM c) SELECT p_partkey, cnt AS "count", aligned, CAST(i AS INTEGER) AS slice, CAST(floor(i * samples / cnt + 0.5) AS BIGINT) AS start_sample, CAST(floor((i + 1) * samples / cnt + 0.5) AS BIGINT) AS end_sample, round({_STRENGTH}, 6) AS strength FROM x""")
 def slice_map(spark, sf_dir):
-    files = _table(spark, sf_dir, "part").select("p_partkey", half_up(F.col("p_retailprice") * 100).alias("samples"), F.lit(10000).alias("sample_rate"), (60 + F.col("p_size")).cast("double").alias("bpm"), F.lit("1/16").alias("subdivision"))
-    return slices.slice_map(files).select("p_partkey", "count", "aligned", "slice", "start_sample", "end_sample", r6("strength").alias("strength"))
+    return slices.slice_map(_part_files(spark, sf_dir)).select("p_partkey", "count", "aligned", "slice", "start_sample", "end_sample", r6("strength").alias("strength"))
 
 
 # 137 to 142
-@_query(f"""WITH s AS (SELECT unnest(range(0, 64)) AS i), v AS (SELECT *, {_STRENGTH} AS st FROM s), l AS (SELECT * FROM (VALUES ('phrase', 64), ('bar', 16), ('halfBar', 8), ('beat', 4), ('halfBeat', 2), ('slice', 1), ('micro', 1)) t(level, span))
-SELECT level, CAST(i // span AS INTEGER) AS "index", CAST(min(i) AS INTEGER) AS "start", CAST(max(i) + 1 AS INTEGER) AS "end", (max(i) + 1) % 16 = 0 AS ends_bar, max(i) + 1 >= 64 AS ends_phrase, min(i) % 16 = 0 AS is_downbeat, min(i) % 4 = 0 AS is_beat, round(arg_min(st, i), 6) AS strength FROM v, l GROUP BY level, i // span""")
+@_query(f"""WITH {_COUNTS}, l AS (SELECT p_partkey, cnt, t.level, CASE WHEN t.level = 'phrase' THEN cnt ELSE t.span END AS span FROM c, (VALUES ('phrase', 0), ('bar', 16), ('halfBar', 8), ('beat', 4), ('halfBeat', 2), ('slice', 1), ('micro', 1)) t(level, span) WHERE t.level = 'phrase' OR t.span * 2 <= cnt),
+x AS (SELECT *, unnest(range(0, CAST(ceil(cnt / span) AS BIGINT))) AS k FROM l), y AS (SELECT *, CAST(k * span AS INTEGER) AS i, least(cnt, (k + 1) * span) AS e FROM x)
+SELECT p_partkey, level, CAST(k AS INTEGER) AS "index", i AS "start", CAST(e AS INTEGER) AS "end", e % 16 = 0 OR e >= cnt AS ends_bar, e >= cnt AS ends_phrase, i % 16 = 0 AS is_downbeat, i % 4 = 0 AS is_beat, round({_STRENGTH}, 6) AS strength FROM y""")
 def slice_hierarchy(spark, sf_dir):
-    files = spark.createDataFrame([(0, 16000, 1000, 60.0, "1/16")], "file int, samples long, sample_rate int, bpm double, subdivision string")
-    return slices.hierarchy(slices.slice_map(files), ["file"]).drop("file").withColumn("strength", r6("strength"))
+    bar = slices.per_bar("subdivision")
+    files = _part_files(spark, sf_dir).select("p_partkey", bar.alias("per_bar"), slices.per_beat(bar).alias("per_beat"), slices.slice_count("samples", "sample_rate", "bpm", bar)["count"].alias("count"))
+    return slices.hierarchy(files, ["p_partkey"]).withColumn("strength", r6("strength"))
 
 
 # 70
@@ -605,10 +613,15 @@ def crunch_quantize(spark, sf_dir):
 
 
 # 299, 302, 316, 292 (tape)
-@_query(f"WITH m AS (SELECT vec_id, {_V}[1] AS v FROM embeddings) SELECT vec_id, round(tanh(v * 2) / tanh(2.0::DOUBLE), 6) AS soft, round(0.5 * v + 0.5 * tanh(v * 3.5), 6) AS tape, round(0.5 * v + 0.5 * (tanh((v + 0.1) * 3.5) - tanh(0.35::DOUBLE)), 6) AS tube, round(0.5 * v + 0.5 * CASE WHEN v > 0 THEN tanh(v * 10.5) ELSE greatest(-1, least(0, v * 3.5)) END, 6) AS fuzz, round(CASE WHEN abs(v * 4) <= 0.98 THEN v * 4 ELSE sign(v) * (0.98 + 0.02 * tanh((abs(v * 4) - 0.98) / 0.02)) END, 6) AS lim FROM m")
+@_query(f"""WITH m AS (SELECT vec_id, {_V} AS e FROM embeddings) SELECT vec_id, round(list_sum(list_transform(e, lambda v: tanh(v * 2) / tanh(2.0::DOUBLE))), 6) AS soft, round(list_sum(list_transform(e, lambda v: 0.5 * v + 0.5 * tanh(v * 3.5))), 6) AS tape,
+round(list_sum(list_transform(e, lambda v: 0.5 * v + 0.5 * (tanh((v + 0.1) * 3.5) - tanh(0.35::DOUBLE)))), 6) AS tube, round(list_sum(list_transform(e, lambda v: 0.5 * v + 0.5 * CASE WHEN v > 0 THEN tanh(v * 10.5) ELSE greatest(-1, least(0, v * 3.5)) END)), 6) AS fuzz,
+round(list_sum(list_transform(e, lambda v: CASE WHEN abs(v * 4) <= 0.98 THEN v * 4 ELSE sign(v) * (0.98 + 0.02 * tanh((abs(v * 4) - 0.98) / 0.02)) END)), 6) AS lim FROM m""")
 def drive_shape(spark, sf_dir):
-    v = F.get(_signal(), F.lit(0))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", r6(levels.soft_saturate(v, 2.0)).alias("soft"), r6(levels.drive(v, "tape", 50.0)).alias("tape"), r6(levels.drive(v, "tube", 50.0)).alias("tube"), r6(levels.drive(v, "fuzz", 50.0)).alias("fuzz"), r6(levels.soft_limit(v * 4)).alias("lim"))
+    total = lambda shape: r6(F.aggregate(_signal(), F.lit(0.0), lambda a, v: a + shape(v)))
+    return _table(spark, sf_dir, "embeddings").select(
+        "vec_id", total(lambda v: levels.soft_saturate(v, 2.0)).alias("soft"), total(lambda v: levels.drive(v, "tape", 50.0)).alias("tape"), total(lambda v: levels.drive(v, "tube", 50.0)).alias("tube"),
+        total(lambda v: levels.drive(v, "fuzz", 50.0)).alias("fuzz"), total(lambda v: levels.soft_limit(v * 4)).alias("lim"),
+    )
 
 
 # 250, 129, 251
