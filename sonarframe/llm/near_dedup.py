@@ -8,13 +8,16 @@
 3. Nodes that share a band hang on the band's smallest node: rows stay linear in
    the nodes however many share a band.  Components of these links are the groups
    inside which nodes must be compared.
-   A group of very many nodes is taken apart again: only nodes that share a band are compared,
-   and of bands with the same nodes one is enough.
-4. Inside a group, signatures are compared in blocks; the similarity estimated
-   from differing low bits, corrected for bits that agree by chance, decides which
-   pairs are confirmed on the full sets, and pairs already connected are skipped.
-   A block gives only links that connect something, never all its pairs.
-5. Components of the confirmed links are the result.
+4. Each node is first compared with the leader of most of its bands, on full sets.
+   What these links connect is a cluster, and pairs inside one needn't be compared:
+   a group of near copies, however large, is mostly one cluster after this step.
+5. What is left of a group, nodes beside its largest cluster, is compared with all of
+   the group in blocks; the similarity estimated from differing low bits, corrected
+   for bits that agree by chance, decides which pairs are confirmed on the full sets,
+   and pairs already connected are skipped.  Where very many nodes are left, only
+   those that share a band are compared, and of bands with the same nodes one is enough.
+   A block gives a link for each merger, never all its pairs.
+6. Components of the confirmed links are the result.
 """
 
 from __future__ import annotations
@@ -37,8 +40,8 @@ MINIMA = BANDS * ROWS
 #: Pairs whose estimate is lower than the similarity by this much aren't confirmed: seven standard deviations at 256 minima, a chance of about 1e-11.
 SLACK = 0.2
 #: Nodes and shingles in one side of a block.
-BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 19
-#: A group of more blocks is compared band by band: a row is copied once for each of its bands, not for each block.
+BLOCK_NODES, BLOCK_SHINGLES = 128, 1 << 18
+#: A group with more blocks beside its largest cluster is compared band by band: a row is copied once for each of its bands, not for each block.
 MOST_BLOCKS = 64
 
 _rng = np.random.default_rng(5)
@@ -99,8 +102,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, one, two, band, packed = [], [], [], [], []
         for s, other in shingle_sets(batch.column("text"), seeds=(0, 1)):
             n.append(max(len(s), len(other)))
-            one.append(int(N.mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-            two.append(int(N.mix(other).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
+            one.append(_key(s))
+            two.append(_key(other))
             if len(s):
                 low = minima(s)
                 band.append(N.mix((low * _FOLD).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64) ^ bands).view(np.int64))
@@ -114,6 +117,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _key(shingles: np.ndarray) -> int:
+    return int(N.mix(shingles).sum(dtype=np.uint64).view(np.int64)) if len(shingles) else 0
+
+
 def _sets(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = keyfilter.Filter(bits.value)
@@ -121,23 +128,50 @@ def _sets(bits):
             if not batch.num_rows:
                 continue
             batch = batch.filter(pa.array(wanted.maybe([batch.column("doc_id").to_numpy(zero_copy_only=False)])))
-            found = [s.tobytes() for (s,) in shingle_sets(batch.column("text"), seeds=(1,))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary())], ["node", "shingles"])
+            found = [s for (s,) in shingle_sets(batch.column("text"), seeds=(1,))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_key(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], ["o", "key2", "shingles"])
 
     return run
 
 
-def _links_in_block(nodes: list[int], left: np.ndarray, packed: list[bytes], shingles: list[bytes], both: bool, similarity: float) -> list[tuple[int, int]]:
-    """Links that connect the nodes of a block: ``left`` marks one side, and only pairs across sides are compared unless ``both``."""
-    m = len(nodes)
-    ids = np.array(nodes)
+def _similar(one: np.ndarray, other: np.ndarray, per_cent: int) -> bool:
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * both >= per_cent * (len(one) + len(other) - both)
+
+
+def _confirmed(similarity: float):
+    """Of rows (b, salt, first, node, shingles) sorted so that a group's leader b comes first, links of nodes that are like it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, leader = None, []
+        for batch in batches:
+            found = []
+            shingles = batch.column("shingles")
+            for i, (b, salt, first, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("b", "salt", "first", "node")))):
+                if (b, salt) != group:
+                    group, leader = (b, salt), []
+                mine = np.frombuffer(shingles[i].as_buffer(), dtype=np.uint64)
+                if first == 0:
+                    if not any(np.array_equal(mine, other) for other in leader):
+                        leader.append(mine.copy())
+                elif any(_similar(mine, other, round(100 * similarity)) for other in leader):
+                    found.append((node, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    return run
+
+
+def _links_in_block(nodes: list[int], clusters: list[int], left: np.ndarray, packed: list[bytes], shingles: list[bytes], both: bool, similarity: float) -> list[tuple[int, int]]:
+    """A link for each merger of clusters in a block: ``left`` marks one side, and only pairs across sides are compared unless ``both``."""
+    m, links = len(nodes), []
     words = np.frombuffer(b"".join(packed), dtype=np.uint64).reshape(m, -1)
     sets = [np.frombuffer(x, dtype=np.uint64) for x in shingles]
     size = np.array([len(s) for s in sets])
     at = np.concatenate([[0], np.cumsum(size)])
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     flag = np.zeros(int(flat.max()) + 1, dtype=bool)
-    label = np.arange(m)
+    label = np.unique(np.array(clusters), return_inverse=True)[1]
     per_cent = round(100 * similarity)
     for i in range(m):
         if not both and not left[i]:
@@ -152,30 +186,32 @@ def _links_in_block(nodes: list[int], left: np.ndarray, packed: list[bytes], shi
         flag[mine] = True
         shared = np.add.reduceat(flag[flat[N.ranges(at[after], size[after])]].astype(np.int64), np.cumsum(size[after]) - size[after])
         flag[mine] = False
-        for j in after[100 * shared >= per_cent * (size[i] + size[after] - shared)]:
+        for j in after[100 * shared >= per_cent * (size[i] + size[after] - shared)].tolist():
             if label[j] != label[i]:
                 label[label == label[j]] = label[i]
-    least = np.full(m, np.iinfo(np.int64).max)
-    np.minimum.at(least, label, ids)
-    return [(a, b) for a, b in zip(nodes, least[label].tolist()) if a != b]
+                links.append((nodes[i], nodes[j]))
+    return links
 
 
 def _blocks(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, links = None, [], []
+        key, rows, links, seen = None, [], [], set()
 
         def close():
+            seen.clear()
             if len(rows) > 1:
                 one, other = key[1], key[2]
-                links.extend(_links_in_block([r[0] for r in rows], np.array([r[1] == one for r in rows]), [r[2] for r in rows], [r[3] for r in rows], one == other, similarity))
+                links.extend(_links_in_block([r[0] for r in rows], [r[4] for r in rows], np.array([r[1] == one for r in rows]), [r[2] for r in rows], [r[3] for r in rows], one == other, similarity))
             rows.clear()
 
         for batch in batches:
-            for g, i, j, b, node, packed, shingles in zip(*(batch.column(c).to_pylist() for c in ("part", "i", "j", "block", "node", "packed", "shingles"))):
+            for g, i, j, b, node, packed, shingles, cluster in zip(*(batch.column(c).to_pylist() for c in ("part", "i", "j", "block", "node", "packed", "shingles", "cluster"))):
                 if (g, i, j) != key:
                     close()
                     key = (g, i, j)
-                rows.append((node, b, packed, shingles))
+                if (node, packed) not in seen:
+                    seen.add((node, packed))
+                    rows.append((node, b, packed, shingles, cluster))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
                 links.clear()
@@ -186,24 +222,42 @@ def _blocks(similarity: float):
     return run
 
 
-def _blocked(members: DataFrame) -> DataFrame:
-    """(part, node, blocks, block) of members (part, node, n_shingles): into how many blocks a part's nodes are dealt, and each node's."""
-    per = members.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
-    per = table(per.select("p", F.greatest(F.ceil(F.col("n") / BLOCK_NODES), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "blocks")
-    return members.join(per, F.col("part") == F.col("p")).select("part", "node", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-
+def _dealt(members: DataFrame) -> DataFrame:
+    """(part, node, cluster, block, others, blocks) of members (part, node, cluster, n_shingles) of parts with several clusters.
 
-def _parts(own: DataFrame, groups: DataFrame) -> DataFrame:
-    """(part, node, blocks, block): the nodes that must be compared with each other are in one part at least."""
-    whole = _blocked(groups.join(own.select(F.col("node").alias("o"), "n_shingles"), F.col("node") == F.col("o")).select(F.col("component").alias("part"), "node", "n_shingles"))
-    whole = table(whole, "whole")
-    large = whole.where(F.col("blocks") > MOST_BLOCKS)
+    A part's largest cluster and its other nodes are dealt to blocks of their own: blocks
+    below ``others`` hold the other nodes.
+    """
+    sizes = members.groupBy("part", "cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    per = sizes.groupBy(F.col("part").alias("p")).agg(F.max(F.struct("n", "cluster", "s")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    per = per.select("p", F.col("m.cluster").alias("main"), blocks(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s")).alias("others"), blocks(F.col("m.n"), F.col("m.s")).alias("mains"))
+    per = table(per.where("others > 0"), "blocks")
+    hashed = F.xxhash64("node")
+    block = F.when(F.col("cluster") == F.col("main"), F.col("others") + F.pmod(hashed, F.col("mains"))).otherwise(F.pmod(hashed, F.col("others")))
+    return members.join(per, F.col("part") == F.col("p")).select("part", "node", "cluster", block.cast("int").alias("block"), "others", (F.col("others") + F.col("mains")).alias("blocks"))
+
+
+def _parts(own: DataFrame, members: DataFrame) -> DataFrame:
+    """``_dealt`` of members (component, node, cluster, n_shingles): nodes that must be compared with each other are in one part at least."""
+    whole = table(_dealt(members.withColumnRenamed("component", "part")), "whole")
+    large = whole.where(F.col("others") > MOST_BLOCKS)
     if not large.take(1):
         return whole
-    slots = large.select(F.col("node").alias("o")).join(own, F.col("node") == F.col("o")).select("node", "n_shingles", F.explode("bands").alias("part"))
-    sets = slots.groupBy("part").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum")).where("n > 1")
-    sets = table(sets.groupBy("n", "least", "sum").agg(F.min("part").alias("p")).select("p"), "slots")
-    return whole.where(F.col("blocks") <= MOST_BLOCKS).unionByName(_blocked(slots.join(sets, F.col("part") == F.col("p")).drop("p")))
+    slots = large.select(F.col("node").alias("o"), "cluster").distinct().join(own, F.col("node") == F.col("o")).select("node", "cluster", "n_shingles", F.explode("bands").alias("part"))
+    same = slots.groupBy("part").agg(F.count("*").alias("n"), F.min("node").alias("least"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("sum")).where("n > 1")
+    same = table(same.groupBy("n", "least", "sum").agg(F.min("part").alias("p")).select("p"), "slots")
+    return whole.where(F.col("others") <= MOST_BLOCKS).unionByName(_dealt(slots.join(same, F.col("part") == F.col("p")).drop("p")))
+
+
+def _with_sets(rows: DataFrame, nodes: DataFrame, source: DataFrame) -> DataFrame:
+    """Rows (node, key2, ...) with the full sets of their texts, which are read again; ``nodes`` (a table) has all their nodes.
+
+    A repeated row of ``source`` repeats them; groups leave them out again.
+    """
+    bits = rows.sparkSession.sparkContext.broadcast(keyfilter.build(nodes.select("node")))
+    sets = source.where("doc_id is not null").mapInArrow(_sets(bits), "o long, key2 long, shingles binary").withColumnRenamed("key2", "k")
+    return rows.join(sets, (F.col("node") == F.col("o")) & (F.col("key2") == F.col("k"))).drop("o", "k")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -218,27 +272,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = table(source.mapInArrow(_sketches, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, packed binary"), "sketches")
     some = sketches.where("n_shingles > 0 and doc_id is not null")
     nodes = table(some.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("node")), "nodes")
-    held = some.join(nodes, ["key1", "key2", "n_shingles"]).select("doc_id", "node", "n_shingles", F.when(F.col("doc_id") == F.col("node"), F.struct("bands", "packed")).alias("sketch"))
-    own = table(held.where("sketch is not null").select("node", "n_shingles", "sketch.bands", "sketch.packed").dropDuplicates(["node", "n_shingles"]), "own")
+    held = some.join(nodes, ["key1", "key2", "n_shingles"]).where("doc_id = node").select("node", "n_shingles", "key2", "bands", "packed")
+    own = table(held.dropDuplicates(["node", "n_shingles", "key2"]), "own")
 
     postings = own.select("node", F.explode("bands").alias("slot"))
     shared = table(postings.groupBy("slot").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("last > leader").select(F.col("slot").alias("s"), "leader"), "shared")
-    near = postings.join(shared, F.col("slot") == F.col("s")).where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    groups = table(components(near), "groups")
+    near = postings.join(shared, F.col("slot") == F.col("s")).where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("n"))
+    near = table(near, "near")
+    groups = table(components(near.select("a", "b")), "groups")
     drop(shared)
     free(docs.sparkSession)
 
-    bits = docs.sparkSession.sparkContext.broadcast(keyfilter.build(groups.select("node")))
-    sets = source.where("doc_id is not null").mapInArrow(_sets(bits), "node long, shingles binary")
-    members = table(_parts(own, groups), "members")
-    full = members.join(own.select(F.col("node").alias("o"), "n_shingles", "packed"), F.col("node") == F.col("o")).drop("o")
-    full = full.join(sets.withColumnRenamed("node", "o"), (F.col("node") == F.col("o")) & (F.octet_length("shingles") == 8 * F.col("n_shingles"))).dropDuplicates(["part", "node", "packed"])
-    paired = full.select("part", "block", "node", "packed", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    paired = paired.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "packed", "shingles")
+    best = near.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select(F.col("a").alias("node"), (-F.col("m.b")).alias("b"))
+    best = table(best, "best")
+    per = table(best.groupBy(F.col("b").alias("leader")).agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("salts")), "leaders")
+    drop(near)
+    salted = best.join(per, F.col("b") == F.col("leader")).select("b", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("first"), "node")
+    leaders = per.select(F.col("leader").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("first"), F.col("leader").alias("node"))
+    pairs = _with_sets(salted.unionByName(leaders).join(own.select(F.col("node").alias("own"), "key2"), F.col("node") == F.col("own")).drop("own"), groups, source)
+    pairs = pairs.select("b", "salt", "first", "node", "shingles").repartition("b", "salt").sortWithinPartitions("b", "salt", "first")
+    stars = table(pairs.mapInArrow(_confirmed(similarity), "a long, b long"), "stars")
+    drop(best)
+    drop(per)
+    free(docs.sparkSession)
+
+    clusters = table(components(stars).withColumnRenamed("component", "cluster"), "clusters")
+    members = groups.join(own.select(F.col("node").alias("own"), "n_shingles"), F.col("node") == F.col("own")).join(clusters, "node", "left").select("component", "node", F.coalesce("cluster", "node").alias("cluster"), "n_shingles")
+    parts = table(_parts(own, members).dropDuplicates(["part", "node"]), "parts")
+    left = table(parts.select("node").distinct(), "left")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("block") < F.col("others"), F.col("blocks") - 1).otherwise(F.col("others") - 1)))
+    whole = _with_sets(parts.join(own.select(F.col("node").alias("own"), "key2", "packed"), F.col("node") == F.col("own")).drop("own"), left, source)
+    paired = whole.select("part", "block", "node", "cluster", "packed", "shingles", other.alias("other"))
+    paired = paired.select("part", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "cluster", "packed", "shingles")
     blocks = paired.repartition("part", "i", "j").sortWithinPartitions("part", "i", "j")
-    links = components(blocks.mapInArrow(_blocks(similarity), "a long, b long"))
-    drop(members)
-    drop(groups)
+    mergers = blocks.mapInArrow(_blocks(similarity), "a long, b long")
+    links = table(components(stars.unionByName(mergers)), "links")
+    for done in (stars, clusters, parts, left, groups):
+        drop(done)
 
     result = sketches.select("doc_id", "n_shingles", "key1", "key2").join(nodes, ["key1", "key2", "n_shingles"], "left").join(links, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "node", "doc_id"))

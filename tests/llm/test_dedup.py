@@ -104,10 +104,36 @@ def test_near(spark, rows):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_near_blocks(spark, rows, monkeypatch):
-    """Groups cut into many blocks give what one block gives."""
+def chained(draw):
+    """Groups of near copies, some drifting away from their first text step by step, and unlike texts of the same words."""
+    out = []
+    for _ in range(5):
+        text = words(draw, 90, 3000)
+        for _ in range(25):
+            if draw.random() < 0.5:
+                text = list(text)
+            for _ in range(draw.randrange(1, 5)):
+                text[draw.randrange(len(text))] = f"n{draw.randrange(9999)}"
+            out.append(" ".join(text))
+        out += [" ".join(text[:60] + words(draw, 20)), " ".join(text[20:]), " ".join(text[:30] + words(draw, 60))]
+    return list(enumerate(out))
+
+
+@pytest.mark.parametrize("most", [64, 0])
+def test_near_blocks(spark, rows, monkeypatch, most):
+    """Groups cut into many blocks, or compared band by band, give what one block gives."""
     monkeypatch.setattr(near_dedup, "BLOCK_NODES", 3)
-    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()} == {i: c for i, (_, c) in brute_near(rows).items()}
+    monkeypatch.setattr(near_dedup, "MOST_BLOCKS", most)
+    for table_rows in (rows, chained(random.Random(14))):
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, table_rows)).collect()} == {i: c for i, (_, c) in brute_near(table_rows).items()}
+
+
+def test_near_one_id_with_two_texts(spark, rows):
+    """Rows with one id are one node: what either text is like, is linked with the other."""
+    a, b = "a b c d e f g h i j k l m n o p q r s t", "z y x w v u t s r q p o n m l k j i h g"
+    got = near_dedup.near_duplicates(table(spark, [(5, a), (5, b), (3, a + " more"), (9, b + " more"), (7, rows[0][1])])).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(5, 3, False), (3, 3, True), (9, 3, False), (7, 7, True)}
+    assert len(got) == 5
 
 
 def test_near_null_id_and_empty(spark):
