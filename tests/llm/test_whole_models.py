@@ -46,7 +46,11 @@ def brute(texts, order=6, shared=3):
         lower, t = prob(gram[1:], c), total.get(gram[:-1], 0)
         return (max(levels[len(gram)][c][gram] - d, 0) + d * kinds[gram[:-1]] * lower) / t if t else lower
 
-    return lambda gram: math.log(prob(gram, 0) / prob(gram, 1))
+    def difference(gram):
+        return math.log(prob(gram, 0) / prob(gram, 1))
+
+    difference.log_prob = lambda gram, c: math.log(prob(gram, c))
+    return difference
 
 
 def test_kneser_ney_beyond_a_shard(spark):
