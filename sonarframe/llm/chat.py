@@ -146,6 +146,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def digest(spark: SparkSession, conversations: DataFrame) -> DataFrame:
+    """The contract's columns of all conversations and of the probe, conversation -1.
+
+    Where the table has a conversation -1 itself, the probe's turns are two more of its turns.
+    """
     text = f"{END}{START}assistant ok"
     rows = conversations.select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], rows.schema)

@@ -169,11 +169,15 @@ def fit(labelled: DataFrame, order: int = ORDER, shard_grams: int = SHARD_GRAMS,
 
     def filters(i: int) -> Filters:
         mine = counts.where(_shard(F.col("gram"), shards) == i) if shards > 1 else counts
-        per = mine.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        rows = per.select("gram", *(F.coalesce(F.try_element_at("by", F.lit(lang)), F.lit(0)).cast("double").alias(f"l{k}") for k, lang in enumerate(names))).toArrow()
-        share = np.column_stack([rows.column(f"l{k}").to_numpy() / max(1, totals.get(lang, 0)) for k, lang in enumerate(names)])
+        rows = mine.select("gram", "lang", "n").toArrow()
+        keys, at = np.unique(rows.column("gram").to_numpy().view(np.uint64), return_inverse=True)
+        lang = rows.column("lang").combine_chunks().dictionary_encode() if rows.num_rows else pa.array([], pa.string()).dictionary_encode()
+        place = {name: k for k, name in enumerate(names)}
+        of = np.array([place[name] for name in lang.dictionary.to_pylist()], dtype=np.int64)[lang.indices.to_numpy()] if rows.num_rows else at
+        share = np.zeros((len(keys), len(names)))
+        share[at, of] = rows.column("n").to_numpy() / np.array([max(1, totals.get(name, 0)) for name in names])[of]
         leads = (share > 0) & (share >= contains * share.max(axis=1, keepdims=True))
-        return Filters(names, n / n.sum(), rows.column("gram").to_numpy().view(np.uint64), share > 0, leads, weight=contains)
+        return Filters(names, n / n.sum(), keys, share > 0, leads, weight=contains)
 
     context = labelled.sparkSession.sparkContext
     out = [context.broadcast(filters(i)) for i in range(shards)]

@@ -6,7 +6,8 @@ bounded size, and on each deme several islands evolve packings apart: crossover
 injects whole well-filled bins of one parent into the other, bins that then hold a
 piece twice are emptied, and the displaced pieces go where they fit best.  Between
 epochs each island's best packing moves on to the next island.  Bins that are still
-not filled are opened again and their pieces dealt to fewer demes, until one is left.
+not filled are opened again and their pieces dealt to fewer demes, as long as a level
+fills bins and more than one deme is left.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ CAPACITY, END_ID = 2048, 0
 DEME, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 600, 2, 2, 6, 5
 #: Free tokens in a bin that counts as filled, by level; what isn't filled is packed again.
 FREE = (6, 24)
+#: Levels go on while they leave at most this share of their pieces open.
+SHRINKS = 0.9
 _MARK = b"<|"
 #: Distinct words whose tokens a worker keeps.
 MAX_WORDS = 3_000_000
@@ -293,11 +296,12 @@ def _choose(capacity: int, free: int):
 
 def assign(items: DataFrame, capacity: int = CAPACITY, deme: int = DEME, islands: int = ISLANDS, epochs: int = EPOCHS, free: tuple[int, ...] = FREE) -> DataFrame:
     """uid, sequence_id, offset for items (uid, length <= capacity), in as few sequences as can be found."""
-    done, level = [], 0
+    done, level, before = [], 0, None
     while True:
         n = items.count()
         demes = -(-n // deme) if level < len(free) else max(1, -(-n // (4 * deme)))
-        last = demes <= 1 or level > len(free)
+        last = demes <= 1 or (level > len(free) and n > SHRINKS * before)  # the level before left nearly all open
+        before = n
         now = items.select(F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(max(1, demes))).alias("deme"), F.explode(F.array(*(F.lit(i) for i in range(islands)))).alias("island"), "uid", "length", F.lit(0).alias("source"), F.lit(-1).alias("bin"))
         for epoch in range(epochs):
             best = table(now.groupBy("deme", "island").applyInArrow(_evolve_group(epoch, capacity, islands), _EVOLVED), "islands")

@@ -93,6 +93,9 @@ class Space:
         for i in range(0, len(raw), BLOCK):
             cosine = self._latent(raw[i : i + BLOCK]) @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+            least = np.take_along_axis(cosine, near, axis=1).min(axis=1, keepdims=True)
+            for tied in np.flatnonzero((cosine >= least).sum(axis=1) > k):  # of equally near ones the first, by identifier
+                near[tied] = np.argsort(-cosine[tied], kind="stable")[:k]
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-3) ** SHARPNESS
             out[i : i + BLOCK] = (weight * self.labels[near]).sum(axis=1) / weight.sum(axis=1)
         return np.clip(out, 0, 1)
@@ -109,7 +112,8 @@ def fit(docs: DataFrame, known: DataFrame, max_sample: int = MAX_SAMPLE) -> Spac
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(raw)), batch.column("label").slice(row, len(raw)), pa.array([r.astype(np.float32).tobytes() for r in raw], pa.binary())], ["doc_id", "label", "raw"])
                 row += len(raw)
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, raw binary").toArrow()
+    rows = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, raw binary")
+    rows = rows.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("raw").alias("raw")).toArrow()  # one text of each identifier
     if not rows.num_rows:
         return None
     by = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
@@ -122,7 +126,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Learns from rows with a 0/1 label that aren't held out; a null text counts as
     empty, and empty texts are scored by the empty vector's neighbours.  Without any
-    label every score is 0.5.
+    label every score is 0.5.  Of texts that share an id one is learnt from, of labels that do the lesser; of equally
+    near neighbours those with smaller ids vote.
     """
     settle(docs.sparkSession)
     rows = id_text(docs, id_col, text_col)

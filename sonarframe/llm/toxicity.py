@@ -48,12 +48,16 @@ def features(model: Model, column) -> Iterator[tuple[int, np.ndarray]]:
 
 
 class Classifier:
-    def __init__(self, model: Model, weights: np.ndarray, centre: np.ndarray, scale: np.ndarray):
-        self.model, self.weights, self.centre, self.scale = model, weights, centre, scale
+    """Features to a probability; a text's length counts as the nearest one among those calibrated on."""
+
+    def __init__(self, model: Model, weights: np.ndarray, centre: np.ndarray, scale: np.ndarray, lengths: tuple[float, float] = (-np.inf, np.inf)):
+        self.model, self.weights, self.centre, self.scale, self.lengths = model, weights, centre, scale, lengths
 
     def scores(self, column) -> np.ndarray:
         rows = [x for _, x in features(self.model, column)]
-        x = (np.concatenate(rows) - self.centre) / self.scale if rows else np.zeros((0, FEATURES))
+        x = np.concatenate([np.zeros((0, FEATURES)), *rows])
+        x[:, -1] = np.clip(x[:, -1], *self.lengths)
+        x = (x - self.centre) / self.scale
         return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
@@ -84,7 +88,7 @@ def fit(docs: DataFrame, known: DataFrame, shard_grams: int = SHARD_GRAMS) -> Cl
         return None
     x = np.array(rows.column("x").to_pylist())
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Classifier(model, logistic((x - centre) / scale, y), centre, scale)
+    return Classifier(model, logistic((x - centre) / scale, y), centre, scale, (x[:, -1].min(), x[:, -1].max()))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, train_docs: DataFrame | None = None) -> DataFrame:
