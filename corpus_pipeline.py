@@ -41,7 +41,7 @@ STAGES = [
     ("pack", pack_sequences),
 ]
 
-#: No stage but the second and third can be expressed in SQL; the pipeline is tested against the operators' brute-force versions.
+#: No stage but the second and third can be expressed in SQL; each is tested on what the one before kept, against what its rule says.
 ORACLE_SQL = None
 
 
