@@ -25,7 +25,8 @@ from sonarframe.llm.shared import drop, named, shared_dir, table, work_path
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Memory bounded over all stores of an executor; no space allocated ahead for the log files of many small stores.
-STREAM_SETTINGS = {PROVIDER: ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+_ROCKS = "spark.sql.streaming.stateStore.rocksdb."
+STREAM_SETTINGS = {PROVIDER: ROCKSDB, f"{_ROCKS}boundedMemoryUsage": "true", f"{_ROCKS}maxMemoryUsageMB": "128", f"{_ROCKS}writeBufferSizeMB": "4", f"{_ROCKS}allowFAllocate": "false"}
 
 
 MOST_BITS, _PIECE = 1 << 27, 32768  # bits of the bitmap, and of one of bitmap_construct_agg

@@ -41,6 +41,8 @@ MINIMA = BANDS * ROWS
 SLACK = 0.2
 #: Nodes and shingles in one side of a block.
 BLOCK_NODES, BLOCK_SHINGLES = 128, 1 << 18
+#: Nodes that are confirmed against one copy of their leader.
+STAR_NODES = 64
 #: A group with more blocks beside its largest cluster is compared band by band: a row is copied once for each of its bands, not for each block.
 MOST_BLOCKS = 64
 
@@ -285,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     best = near.groupBy("a").agg(F.max(F.struct("n", (-F.col("b")).alias("b"))).alias("m")).select(F.col("a").alias("node"), (-F.col("m.b")).alias("b"))
     best = table(best, "best")
-    per = table(best.groupBy(F.col("b").alias("leader")).agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("salts")), "leaders")
+    per = table(best.groupBy(F.col("b").alias("leader")).agg(F.ceil(F.count("*") / STAR_NODES).cast("int").alias("salts")), "leaders")
     drop(near)
     salted = best.join(per, F.col("b") == F.col("leader")).select("b", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("first"), "node")
     leaders = per.select(F.col("leader").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("first"), F.col("leader").alias("node"))

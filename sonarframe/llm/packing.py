@@ -36,7 +36,7 @@ FREE = (6, 24)
 SHRINKS = 0.9
 _MARK = b"<|"
 #: Distinct words whose tokens a worker keeps.
-MAX_WORDS = 3_000_000
+MAX_WORDS = 1_000_000
 
 
 def default_tokenizer() -> str:
@@ -46,8 +46,8 @@ def default_tokenizer() -> str:
 
 
 def _room(a: np.ndarray, n: int) -> np.ndarray:
-    """``a`` with room for ``n`` values at least, doubling."""
-    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)])
+    """``a`` with room for ``n`` values at least, growing by halves."""
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 3 * len(a) // 2) - len(a), dtype=a.dtype)])
 
 
 class Encoder:
@@ -68,8 +68,8 @@ class Encoder:
 
     def _clear(self):
         self.table = KeyTable(np.zeros(0, np.uint64))
-        self.at, self.size, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32), 0
-        self.word_at, self.word_size, self.words, self.written = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(8, np.uint8), 0
+        self.at, self.size, self.flat, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32), 0
+        self.word_at, self.word_size, self.words, self.written = np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros(8, np.uint8), 0
 
     def _keys(self, part: N.Slice) -> np.ndarray:
         size = part.ends - part.starts
@@ -126,15 +126,15 @@ class Encoder:
             alone[hashed] = self.word_size[index[hashed]] != length[hashed]
             hashed = hashed[~alone[hashed]]
             kept = np.ndarray((len(self.words) - 7,), dtype="<u8", buffer=self.words, strides=(1,))
-            alone[hashed] = ~N.same_bytes(N.eights(part.data), part.starts[hashed], kept, self.word_at[index[hashed]], length[hashed])
+            alone[hashed] = ~N.same_bytes(N.eights(part.data), part.starts[hashed], kept, self.word_at[index[hashed]].astype(np.int64), length[hashed])
         direct = np.flatnonzero(alone)
         if len(direct):
             size, tokens = self._tokens(part, direct)
             self._put(self.table.n, size, tokens)  # written over by the next
             index[direct] = self.table.n + np.arange(len(direct))
-        size = self.size[index]
+        size = self.size[index].astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(size)])[part.word_offsets[1:]]
-        ids = self.flat[N.ranges(self.at[index], size)]
+        ids = self.flat[N.ranges(self.at[index].astype(np.int64), size)]
         return np.insert(ids, ends, END_ID), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
 
 

@@ -14,7 +14,7 @@ SETTING = "spark.checkpoint.dir"
 #: Rows and bytes of an Arrow batch: texts are long.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 #: For glibc, Arrow and the tokenizer in Python workers: freed memory goes back to the system, and a worker is one thread.
-WORKER = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20), "ARROW_DEFAULT_MEMORY_POOL": "system", "TOKENIZERS_PARALLELISM": "false"}
+WORKER = {"MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(1 << 18), "MALLOC_TRIM_THRESHOLD_": str(1 << 18), "ARROW_DEFAULT_MEMORY_POOL": "system", "TOKENIZERS_PARALLELISM": "false"}
 #: Identifiers that may be broadcast to leave rows out: 16 MB.
 MOST_IDS = 1 << 21
 
