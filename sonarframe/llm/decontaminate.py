@@ -247,7 +247,9 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            parts = list(_slices(batch.column("text")))
+            parts = _slices(batch.column("text"))
+            if len(blocks) != 1:
+                parts = list(parts)  # searched by one block after another
             for block in blocks:
                 known, rows = block.value if len(blocks) == 1 else once(block), []
                 for first, owner, text in parts:
