@@ -49,10 +49,10 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sonarframe-{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written to a new work table and read back: cuts lineage, survives lost executors."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.work_path = path
     return back
