@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sonarframe.llm import alignment, chat, collocations, decontaminate, exact_dedup, language_id, near_dedup, packing, quality, substring_dedup, toxicity, url_filters
+from sonarframe.llm import alignment, chat, collocations, decontaminate, exact_dedup, html_text, language_id, near_dedup, packing, quality, substring_dedup, toxicity, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -57,12 +57,16 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(_table(spark, sf_dir))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.statistics(_table(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality, op2_language_id, op3_substring_dedup, op4_packing, op5_near_dedup, op6_url_filters, op7_toxicity, op8_chat, op9_decontaminate, op10_exact_dedup, op11_collocations, op13_alignment)
+    found = (op1_quality, op2_language_id, op3_substring_dedup, op4_packing, op5_near_dedup, op6_url_filters, op7_toxicity, op8_chat, op9_decontaminate, op10_exact_dedup, op11_collocations, op12_html_text, op13_alignment)
     return {f.__name__: f for f in found}
 
 
