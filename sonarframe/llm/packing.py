@@ -138,6 +138,22 @@ class Encoder:
         return np.insert(ids, ends, END_ID), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
 
 
+def _folded(part: N.Slice) -> np.ndarray:
+    """The slice's bytes with A-Z lower-cased in words of ASCII letters alone that can't hold a special token.
+
+    The tokenizer composes characters first and lower-cases then, and a capital may
+    have no composed form where the small letter has one; so other words stay.
+    """
+    odd = part.data >= 0x80
+    odd[:-1] |= (part.data[:-1] == _MARK[0]) & (part.data[1:] == _MARK[1])
+    before = np.concatenate([[0], np.cumsum(odd)])
+    words = np.flatnonzero(before[part.ends] > before[part.starts])
+    kept = N.ranges(part.starts[words], part.ends[words] - part.starts[words])
+    out = N.LOWER[part.data]
+    out[kept] = part.data[kept]
+    return out
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -161,8 +177,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         for batch in batches:
             docs = batch.column("doc_id")
             for part in N.slices(batch.column("text")):
-                if _MARK not in part.data.tobytes():  # the tokenizer lower-cases all but its special tokens
-                    part.data = N.LOWER[part.data]
+                part.data = _folded(part)
                 ids, offsets = known.ids(part)
                 total = np.diff(offsets)
                 count = -(-total // capacity)

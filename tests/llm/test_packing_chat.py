@@ -47,6 +47,23 @@ def test_packing_against_the_tokenizer(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_ids_of_marked_capitals_whatever_stands_beside_them(spark):
+    from tokenizers import Tokenizer
+
+    draw = random.Random(12)
+    alphabet = list("aAjJtThHwWyYsS") + ["\u030c", "\u0308", "\u0331", "\u030a", "\u0301", "\u0307", "İ", "Σ", " ", " ", "<|", "|>", "\u00a0", "K", "Å", "ß", "ẞ"]
+    texts = [p + " a" for p in ("J\u030c", "T\u0308", "H\u0331", "W\u030a", "Y\u030a")]
+    texts += ["".join(draw.choice(alphabet) for _ in range(draw.randrange(1, 30))) for _ in range(3000)]
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    rows = list(enumerate(texts))
+    for beside in ([], [(-1, "<|endoftext|> X")]):
+        got = {r.doc_id: r.ids for r in packing.pieces(spark.createDataFrame(beside + rows, "doc_id long, text string").coalesce(1)).collect()}
+        assert [got[i] for i, _ in rows] == want
+    alone = [packing.pieces(spark.createDataFrame([r], "doc_id long, text string")).first().ids for r in rows[:5]]
+    assert alone == want[:5]
+
+
 def test_genetic_steps_keep_every_piece():
     draw = random.Random(8)
     lengths = [draw.randrange(1, 1500) for _ in range(300)]
