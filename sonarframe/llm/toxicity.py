@@ -3,7 +3,8 @@
 A toxic expression is a few words in a long ordinary text, so likelihoods are
 normalised by length over passages: the score rests on the largest mean
 difference over ``PASSAGES`` bytes, and over the whole text, turned into a
-probability by a logistic regression on rows that the counts haven't seen.
+probability by a logistic regression.  Its weights are fitted out of fold, on rows that
+the counts of a first model haven't seen; the model that scores counts all labelled rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from sonarframe.llm.shared import MOST_IDS, held_out, id_text, named, settle, ta
 
 #: Lengths in bytes over which differences are averaged.
 PASSAGES = (6, 10, 16, 32)
-#: Labelled rows at most for the four weights of the calibration (the counts take all rows).
+#: Labelled rows at most for the weights and intercept of the calibration (the counts take all rows).
 MAX_CALIBRATION = 20_000
 FEATURES = len(PASSAGES) + 2
 
@@ -62,33 +63,35 @@ class Classifier:
 
 
 def fit(docs: DataFrame, known: DataFrame, shard_grams: int = SHARD_GRAMS) -> Classifier | None:
-    """From docs (doc_id, text) and known (doc_id, label): three quarters of the labelled rows give the counts, of the rest a sample the calibration.
+    """From docs (doc_id, text) and known (doc_id, label): counts of all labelled rows, weights from a sample scored by counts of three quarters of the others.
 
     None if the calibration lacks a class.  Up to MOST_IDS labels are broadcast to their texts; beyond that only
     labelled texts are shuffled.  The sample's identifiers are few enough to broadcast.
     """
     part = F.pmod(F.xxhash64("doc_id"), F.lit(4))
     known = table(known, "labels")
-    counted = known.where(part > 0)
-    if known.count() <= MOST_IDS:
-        labelled = docs.join(F.broadcast(counted), "doc_id")
-    else:
-        labelled = keyfilter.some(docs, counted.select("doc_id")).join(counted, "doc_id")
-    model = train(labelled, shard_grams=shard_grams)
+    few = known.count() <= MOST_IDS
+
+    def counted(some: DataFrame) -> Model:
+        labelled = docs.join(F.broadcast(some), "doc_id") if few else keyfilter.some(docs, some.select("doc_id")).join(some, "doc_id")
+        return train(labelled, shard_grams=shard_grams)
+
+    apart = counted(known.where(part > 0))
     sample = known.where(part == 0).orderBy(F.xxhash64(F.col("doc_id") + 1), "doc_id").limit(MAX_CALIBRATION)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, x in features(model, batch.column("text")):
+            for row, x in features(apart, batch.column("text")):
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(row, len(x)), pa.array(x.tolist(), pa.list_(pa.float64()))], ["label", "x"])
 
     rows = docs.join(F.broadcast(sample), "doc_id").select("text", "label").mapInArrow(run, "label int, x array<double>").toArrow()
+    apart.unpersist()
     y = np.array(rows.column("label").to_pylist(), dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return None
     x = np.array(rows.column("x").to_pylist())
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return Classifier(model, logistic((x - centre) / scale, y), centre, scale, (x[:, -1].min(), x[:, -1].max()))
+    return Classifier(counted(known), logistic((x - centre) / scale, y), centre, scale, (x[:, -1].min(), x[:, -1].max()))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.5, train_docs: DataFrame | None = None) -> DataFrame:
@@ -115,5 +118,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that aren't rejected, with all their columns; rows with a null id stay."""
-    gone = score(docs, labels, id_col, text_col).where("predicted = 1").select(F.col("doc_id").alias("__gone__")).distinct()
+    gone = score(docs, labels, id_col, text_col).where("predicted = 1").select("doc_id").distinct()
     return without(docs, gone, id_col)

@@ -2,8 +2,9 @@
 
 URLs that a rule decides are what the models learn from: variable-order Markov
 models with Kneser-Ney smoothing.  Other URLs are judged by the difference of the
-two log-likelihoods, normalised by length, against a threshold calibrated on URLs
-that the counts haven't seen.
+two log-likelihoods, normalised by length, against a threshold.  That is calibrated out
+of fold, on URLs that the counts of a first model haven't seen; the models that judge
+count all URLs that a rule decides.
 """
 
 from __future__ import annotations
@@ -58,7 +59,8 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     A null URL, or one without ``://``, has an empty host and path, so no rule; it's
     judged by its characters like the rest.  If the rules decide no URL for one of
-    the verdicts, there is nothing to compare and the rest are allowed.  Rows with a null
+    the verdicts, or if accepted URLs aren't likelier under the model of accepted ones,
+    there is nothing to go by and the rest are allowed.  Rows with a null
     page_id are judged like others, and repeated rows each for itself.
     """
     url = named(url_col).cast("string")
@@ -66,14 +68,16 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     rows = rows.withColumn("found", matching_rule(F.col("host"), F.col("path"), rules))
     decided = rows.where("found is not null").select(F.col("url").alias("text"), (F.col("found.verdict") == "allow").cast("int").alias("label"))
     part = F.pmod(F.xxhash64("text"), F.lit(4))
-    model = train(decided.where(part > 0))
+    apart = train(decided.where(part > 0))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(_means(model, batch.column("text")))], ["label", "ratio"])
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(_means(apart, batch.column("text")))], ["label", "ratio"])
 
     sample = decided.where(part == 0).orderBy(F.xxhash64("text", F.lit(1)), "text").limit(MAX_CALIBRATION)
     seen = sample.mapInArrow(scored, "label int, ratio double").toArrow()
+    apart.unpersist()
+    model = train(decided)
     y, x = (seen.column(c).to_numpy().astype(float) for c in ("label", "ratio"))
     weights = logistic(x[:, None], y) if len(y) and y.min() < y.max() else None
     least = float(-weights[1] / weights[0]) if weights is not None and weights[0] > 0 else float("-inf")
