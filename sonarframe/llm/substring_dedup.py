@@ -260,16 +260,16 @@ def repeated_paths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, weaken: int = 0) -> DataFrame:
-    """Word spans (row, spans array<struct<at,end>>) covered by windows that also start in a document with a smaller id.
+    """Word spans (doc_id, row, spans array<struct<at,end>>) covered by windows that also start in a document with a smaller id.
 
-    ``row`` is as ``row_key`` gives it.  Rows without an id or text neither repeat nor are a source; rows that share an
+    ``row`` is as ``row_key`` gives it, and tells rows of one doc_id apart only.  Rows without an id or text neither repeat nor are a source; rows that share an
     id are one document to each other, so they don't repeat each other.
     """
     spark = docs.sparkSession
     occurrences = repeated_paths(docs, id_col, text_col, window, weaken)
-    per = table(occurrences.groupBy("row").agg(F.collect_list(F.struct("at", "end", "path")).alias("spans")), "paths")
+    per = table(occurrences.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "end", "path")).alias("spans")), "paths")
     source = keyfilter.some(row_key(id_text(docs, id_col, text_col)).where("doc_id is not null and text is not null"), per.select("row"), "row")
-    texts = table(source.join(per, "row").select("doc_id", "row", "text", "spans"), "texts")
+    texts = table(source.join(per, ["doc_id", "row"]).select("doc_id", "row", "text", "spans"), "texts")
     digests = table(texts.mapInArrow(_digests(window, True), WINDOWS), "digests")
     drop(per)
 
@@ -283,14 +283,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         windows = windows.unionByName(texts.mapInArrow(_digests(window, False, bits), WINDOWS).select("doc_id", "row", "at", "digest"))
         whole = whole.join(apart, "path", "left_anti")
     first = table(windows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select(F.col("digest").alias("d"), "first"), "firsts")
-    part = windows.join(first, (F.col("digest") == F.col("d")) & (F.col("doc_id") > F.col("first"))).select("row", "at", (F.col("at") + window).alias("end"))
-    covered = whole.select("row", "at", "end").unionByName(part)
+    part = windows.join(first, (F.col("digest") == F.col("d")) & (F.col("doc_id") > F.col("first"))).select("doc_id", "row", "at", (F.col("at") + window).alias("end"))
+    covered = whole.select("doc_id", "row", "at", "end").unionByName(part)
     # overlapping spans of a document become one, so that a document's list is short
-    by = Window.partitionBy("row").orderBy("at", "end")
+    by = Window.partitionBy("doc_id", "row").orderBy("at", "end")
     marked = covered.withColumn("reach", F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     island = marked.withColumn("island", F.sum(F.when(F.col("reach") >= F.col("at"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = island.groupBy("row", "island").agg(F.min("at").alias("at"), F.max("end").alias("end"))
-    out = table(merged.groupBy("row").agg(F.collect_list(F.struct("at", "end")).alias("spans")), "spans")
+    merged = island.groupBy("doc_id", "row", "island").agg(F.min("at").alias("at"), F.max("end").alias("end"))
+    out = table(merged.groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "end")).alias("spans")), "spans")
     for done in (occurrences, texts, digests, apart, first):
         drop(done)
     free(spark)
@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = repeated_spans(docs, id_col, text_col, window, weaken)
     schema = "doc_id long, n_words long, n_removed long, kept string"
     touched, others = keyfilter.split(source, spans.select("row"), "row")
-    cut = touched.join(spans, "row", "left").select("doc_id", "text", "spans")
+    cut = touched.join(spans, ["doc_id", "row"], "left").select("doc_id", "text", "spans")
     return cut.unionByName(others.select("doc_id", "text", F.lit(None).cast("array<struct<at:int,end:int>>").alias("spans"))).mapInArrow(_cut, schema)
 
 
