@@ -276,5 +276,5 @@ def _slices(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` that contain no benchmark item and no region of one, with all their columns; rows with a null id stay."""
-    gone = passages(docs, benchmark, id_col, text_col, region=REGION).select(F.col("doc_id").alias("__gone__")).distinct()
+    gone = passages(docs, benchmark, id_col, text_col, region=REGION).select("doc_id").distinct()
     return without(docs, gone, id_col)

@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sonarframe.llm.shared import drop, named, shared_dir, table, work_path
+from sonarframe.llm.shared import fresh, drop, named, shared_dir, table, work_path
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -128,17 +128,19 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated with one id in a table without files stay together.
     """
     found = duplicates(docs, id_col, text_col)
+    own = fresh(docs, "here")
     try:
         file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-        marked, located = docs.select("*", F.struct(named(id_col).cast("long").alias("doc_id"), file.alias("file"), row.alias("row")).alias("__here__")), True
+        marked, located = docs.select("*", F.struct(named(id_col).cast("long").alias("doc_id"), file.alias("file"), row.alias("row")).alias(own)), True
     except AnalysisException:
-        marked, located = docs.select("*", F.struct(named(id_col).cast("long").alias("doc_id"), F.lit("").alias("file"), F.lit(0).cast("long").alias("row")).alias("__here__")), False
-    here = F.struct("doc_id", "file", "row").alias("__there__")
+        marked, located = docs.select("*", F.struct(named(id_col).cast("long").alias("doc_id"), F.lit("").alias("file"), F.lit(0).cast("long").alias("row")).alias(own)), False
+    there = fresh(marked, "there")
+    here = F.struct("doc_id", "file", "row").alias(there)
     if located:
         gone = table(found.where("not kept").select(here), "gone")
         if gone.count() <= MOST_DROPPED:
-            return marked.join(F.broadcast(gone), F.col("__here__").eqNullSafe(F.col("__there__")), "left_anti").drop("__here__")
-    return marked.join(found.where("kept").select(here), F.col("__here__").eqNullSafe(F.col("__there__")), "left_semi").drop("__here__")
+            return marked.join(F.broadcast(gone), F.col(own).eqNullSafe(F.col(there)), "left_anti").drop(own)
+    return marked.join(found.where("kept").select(here), F.col(own).eqNullSafe(F.col(there)), "left_semi").drop(own)
 
 
 ORACLE = """

@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` of which one document of each component stays, the one with the smallest id."""
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone__")).distinct()
+    gone = near_duplicates(docs, id_col, text_col).where("not kept").select("doc_id").distinct()
     return without(docs, gone, id_col)
 
 

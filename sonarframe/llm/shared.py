@@ -87,11 +87,20 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds) == 0, F.lit(True))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it (in whatever case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose id isn't in ``gone`` (one long column, __gone__, distinct); rows with a null id stay.
+    """Rows of ``docs`` whose id isn't in ``gone`` (one long column, distinct); rows with a null id stay.
 
     Up to MOST_IDS identifiers are broadcast; more are joined, with ``docs`` shuffled.
     """
-    gone = table(gone, "gone")
+    own = fresh(docs, "gone")
+    gone = table(gone.toDF(own), "gone")
     few = gone.count() <= MOST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, named(id_col).cast("long") == F.col("__gone__"), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, named(id_col).cast("long") == F.col(own), "left_anti")
