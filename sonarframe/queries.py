@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sonarframe.functions import levels, music, naming, tempo
 from sonarframe.functions.numbers import clamp, half_up, step_at
-from sonarframe.operators import aggregates, frames, inclusion, intervals, matching, slices
+from sonarframe.operators import aggregates, chunks, frames, inclusion, intervals, matching, slices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,8 +125,7 @@ SELECT event_type, CAST(h AS DOUBLE) AS h FROM kept""")
 def debounced_onsets(spark, sf_dir):
     curve = frames.onset_curve(_hourly(spark, sf_dir, "event_type"), ["event_type"], "h", "x")
     peaks = frames.onset_peaks(curve, ["event_type"], "h", "strength")
-    times = peaks.groupBy("event_type").agg(F.sort_array(F.collect_list(F.col("h").cast("double"))).alias("times"))
-    return times.select("event_type", F.explode(frames.debounce(F.col("times"), 6.0)).alias("h"))
+    return chunks.debounce(peaks.select("event_type", F.col("h").cast("double").alias("h")), ["event_type"], "h", 6.0, 1 << 12)
 
 
 # 113
