@@ -7,9 +7,10 @@ reverse-lexicographically, and one stack counts all their prefixes in a single p
 a prefix is complete when a suffix comes that doesn't begin with it.  What is still open at the edges of a
 range is added up afterwards.  Parts of phrases are looked up by joins.
 
-A phrase can't be more frequent than its words, so suffixes end before the first word
-that a bitmap of frequent words excludes; the bitmap lets too much through, never too
-little.  Within a batch equal suffixes become one row.
+A phrase can't be more frequent than its words and its pairs of words, so suffixes end
+before the first word, and between the first two, that a bitmap of frequent ones
+excludes; the bitmaps let too much through, never too little.  Within a batch equal
+suffixes become one row.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ MAX_WORDS, LEAST, TOP = 5, 100, 2000
 COVERS = 100
 #: Rows taken together by the stack, bytes of text at once, and lists of a language for the first selection.
 _ROWS, _BYTES, _LISTS = 1 << 16, 1 << 22, 32
+#: Distinct pairs of words that a task adds up before it gives them to the shuffle.
+_PAIRS = 1 << 20
 #: Between the words of a suffix: sorts before all else, so that a prefix's rows are together.  Bytes 0 and 1 of texts are written as two bytes.
 _BETWEEN = "\x00"
 
@@ -114,11 +117,45 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, lang string, n long").groupBy("key", "lang").agg(F.sum("n").alias("n"))
 
 
-def _lengths(words: Words, frequent: np.ndarray, most: int) -> np.ndarray:
-    """Words of the suffix at each place: up to ``most``, within the piece, before the first infrequent word."""
+def _pairs(words: Words, keys: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of frequent words that go on another frequent one's piece, a hash of language and both words)."""
+    at = np.flatnonzero(words.goes_on[1:] & frequent[1:] & frequent[:-1]) + 1
+    return at, N.mix(keys[at - 1] * np.uint64(3) ^ N.mix(keys[at]))
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    every, of = np.unique(np.concatenate(keys), return_inverse=True)
+    return every, np.bincount(of, np.concatenate(counts), len(every)).astype(np.int64)
+
+
+def pair_counts(texts: DataFrame, frequent) -> DataFrame:
+    """(key, n): occurrences of each hash of language and two words in a row, both in the bitmap ``frequent``; added up in tasks before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, keys, counts = keyfilter.Filter(frequent.value), [], []
+        row = lambda: pa.RecordBatch.from_arrays([pa.array(keys[0].view(np.int64)), pa.array(counts[0])], ["key", "n"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code, _, of_language = _languages(batch.column("lang"))
+            for part in N.slices(batch.column("text"), fold_case=True, limit=_BYTES):
+                words = Words(part)
+                own = _keys(words, words.hashes(), of_language, code[part.row : part.row + len(part)])
+                key, n = np.unique(_pairs(words, own, known.maybe([own.view(np.int64)]))[1], return_counts=True)
+                keys, counts = ([x] for x in _summed([*keys, key], [*counts, n]))
+                if len(keys[0]) > _PAIRS:
+                    yield row()
+                    keys, counts = [], []
+        if keys:
+            yield row()
+
+    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _lengths(joins: np.ndarray, frequent: np.ndarray, most: int) -> np.ndarray:
+    """Words of the suffix at each place: up to ``most``, none if its first isn't frequent, as far as each word ``joins`` the one before."""
     n = len(frequent)
     alive, out = frequent.copy(), frequent.astype(np.int64)
-    joins = words.goes_on & frequent  # a suffix may go on to this word
     for k in range(1, min(most, n)):
         alive[: n - k] &= joins[k:]
         alive[n - k :] = False
@@ -161,14 +198,14 @@ def _strings(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Arra
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[N.ranges(starts, sizes)]))).cast(pa.string())
 
 
-def suffixes(texts: DataFrame, frequent, most: int = MAX_WORDS) -> DataFrame:
+def suffixes(texts: DataFrame, frequent, pairs, most: int = MAX_WORDS) -> DataFrame:
     """(lang, suffix, n): the suffixes of all texts, their words joined by ``_BETWEEN``, equal ones of a batch in one row.
 
-    ``frequent`` is a broadcast bitmap of the words that may be part of a phrase.
+    ``frequent`` and ``pairs`` are broadcast bitmaps of the words and pairs of words that may be part of a phrase.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = keyfilter.Filter(frequent.value)
+        known, known_pairs = keyfilter.Filter(frequent.value), keyfilter.Filter(pairs.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -176,7 +213,11 @@ def suffixes(texts: DataFrame, frequent, most: int = MAX_WORDS) -> DataFrame:
             for part in N.slices(batch.column("text"), fold_case=True, limit=_BYTES):
                 words = Words(part)
                 hashes, here = words.hashes(), code[part.row : part.row + len(part)]
-                size = _lengths(words, known.maybe([_keys(words, hashes, of_language, here).view(np.int64)]), most)
+                own = _keys(words, hashes, of_language, here)
+                alive, joins = known.maybe([own.view(np.int64)]), np.zeros(len(own), dtype=bool)
+                place, pair = _pairs(words, own, alive)
+                joins[place] = known_pairs.maybe([pair.view(np.int64)])
+                size = _lengths(joins, alive, most)
                 at, n = _distinct(words, hashes, here, size, most)
                 # all words, each followed by one separator
                 length = words.ends - words.starts
@@ -310,7 +351,10 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most:
     numbers = word_counts(texts)
     numbers = table(numbers.where((F.col("n") >= least) | F.col("key").isNull()), "words")
     frequent = spark.sparkContext.broadcast(keyfilter.build(numbers.where("key IS NOT NULL").select("key")))
-    rows = table(suffixes(texts, frequent, most), "suffixes", compression="zstd")
+    often = table(pair_counts(texts, frequent).where(F.col("n") >= least).select("key"), "pairs")
+    pairs = spark.sparkContext.broadcast(keyfilter.build(often))
+    drop(often)
+    rows = table(suffixes(texts, frequent, pairs, most), "suffixes", compression="zstd")
     counts = table(phrase_counts(rows, most, least), "phrases")
     drop(rows)
     found = table(scored(counts, numbers.where("key IS NULL").select("lang", "n"), most, covers), "scored")
@@ -328,7 +372,8 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most:
 ORACLE = r"""
 WITH pieces AS (
     SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents
+-
+]')) AS piece FROM documents
 ), worded AS (
     SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), x -> x <> '') AS w FROM pieces
 ), totals AS (

@@ -50,6 +50,7 @@ def corpus(draw, n):
 @pytest.mark.parametrize("least,top,covers", [(5, 2000, 100), (3, 7, 60), (2, None, 100)])
 def test_against_all_phrases(spark, least, top, covers, monkeypatch):
     monkeypatch.setattr(C, "_ROWS", 7)
+    monkeypatch.setattr(C, "_PAIRS", 50)
     rows = corpus(random.Random(least), 250)
     docs = spark.createDataFrame([(t, lang, 5, "x") for t, lang in rows], "text string, lang string, n int, phrase string").repartition(5)
     got = C.mine(docs, least=least, top=top, covers=covers).collect()
@@ -63,7 +64,7 @@ def test_colliding_hashes_stay_apart(spark, monkeypatch):
     words = [C.Words(part) for part in C.N.slices(pa.array([t or "" for t, _ in rows]), fold_case=True)]
     for w in words:
         monkeypatch.setattr(C.N, "hash_spans", weak)
-        size = C._lengths(w, np.ones(len(w.starts), dtype=bool), 5)
+        size = C._lengths(w.goes_on, np.ones(len(w.starts), dtype=bool), 5)
         at, n = C._distinct(w, w.hashes(), np.zeros(len(rows), dtype=np.int32), size, 5)
         said = lambda i, w=w, size=size: tuple(w.data[w.starts[j] : w.ends[j]].tobytes() for j in range(i, i + size[i]))
         found = Counter()
