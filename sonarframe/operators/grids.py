@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sonarframe.work import table
+
 TURN = 2 * math.pi
 #: Share of the estimate that a tempo may be off, and candidates of a scan to each side.
 RANGE, STEPS = 0.01, 20
@@ -77,13 +79,15 @@ def fit(onsets: DataFrame, keys: list[str], at: str, strength: str, estimate: st
     through the strongest onset near each grid line, leaves out what is off that line and
     fits again, if 8 points stay and the slope is within 1.5 % of the estimate.  Last, the
     25th percentile of how far loud onsets (``loud`` of the key's strongest) are off moves the
-    phase, by 20 ms at most.  Keys without a pulse (a coherence under 0.15) or with fewer than 8 onsets have no row.
+    phase, by 20 ms at most.  Onsets are written once and read by each step, whose results are small tables.  Keys without a pulse (a coherence under 0.15) or with fewer than 8 onsets have no row.
     """
     rows = onsets.where((F.col(strength) > 0) & F.col(at).isNotNull()).select(*keys, F.col(at).cast("double").alias("__t"), F.col(strength).cast("double").alias("__v"), F.col(estimate).cast("double").alias("__est"))
     some = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.max("__v").alias("__top")).where(F.col("__n") >= LEAST_POINTS).drop("__n")
-    rows = _on(rows, some, keys)
+    rows = table(_on(rows, some, keys), "onsets")
     coarse = _scan(rows, keys, "__t", "__v", "__est", F.col("__est") * RANGE, steps).select(*keys, F.col("beat").alias("__coarse"))
+    coarse = table(coarse, "coarse")
     scanned = _scan(_on(rows, coarse, keys), keys, "__t", "__v", "__coarse", F.col("__est") * (RANGE / steps), steps).where(F.col("coherence") >= LEAST_COHERENCE)
+    scanned = table(scanned, "fine")
 
     w = TURN / F.col("beat")
     whole = _on(rows, scanned, keys).groupBy(*keys).agg(F.sum(F.col("__v") * F.cos(w * F.col("__t"))).alias("__re"), F.sum(F.col("__v") * F.sin(w * F.col("__t"))).alias("__im"), *(F.min(c).alias(c) for c in ("beat", "phase", "coherence", "__est")))
@@ -91,6 +95,7 @@ def fit(onsets: DataFrame, keys: list[str], at: str, strength: str, estimate: st
     points = F.atan2("__im", "__re") / TURN * F.col("beat")
     far = lambda p: F.abs(F.pmod(p - points + F.col("beat") / 2, F.col("beat")) - F.col("beat") / 2)
     grid = whole.select(*keys, "beat", F.pmod(F.when(far(on) <= far(off), on).otherwise(off), F.col("beat")).alias("phase"), "coherence", "__est", F.lit(0).cast("long").alias("points"))
+    grid = table(grid, "grid")
 
     rows = rows.select(*keys, "__t", "__v", "__top")
     for reach, most in passes:
@@ -100,6 +105,7 @@ def fit(onsets: DataFrame, keys: list[str], at: str, strength: str, estimate: st
         better = F.coalesce(F.abs(F.col("__slope2") / F.col("__est") - 1) <= RANGE * 1.5, F.lit(False))
         pick = lambda new, old: F.when(better, F.col(new)).otherwise(F.col(old)).alias(old)
         grid = _on(grid, second, keys, "left").select(*keys, pick("__slope2", "beat"), pick("__at2", "phase"), "coherence", "__est", pick("__points2", "points"))
+        grid = table(grid, "grid")
 
     last = _on(_near_lines(rows, grid, keys, passes[-1][0]).where(F.col("__v") >= F.col("__top") * loud), grid.select(*keys, "beat", "phase"), keys)
     away = last.withColumn("__away", F.col("__t") - (F.col("phase") + F.col("beat") * F.col("__k"))).select(*keys, "__away")

@@ -807,3 +807,6 @@ def fx_bank(spark, sf_dir):
         return signals.map(one)
 
     return _tones(spark, sf_dir, 256).select("vec_id", F.pandas_udf(make, "string")("signal").alias("bank"))
+
+
+from sonarframe import series_queries  # noqa: E402,F401  (registers its queries here)
