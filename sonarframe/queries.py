@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sonarframe.functions import levels, music, naming, tempo
 from sonarframe.functions.numbers import clamp, half_up, step_at
-from sonarframe.operators import aggregates, chunks, frames, inclusion, intervals, matching, slices
+from sonarframe.operators import aggregates, chunks, frames, inclusion, intervals, matching, selection, slices
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -690,20 +690,16 @@ def signal_onsets(spark, sf_dir):
     return _tones(spark, sf_dir).select("vec_id", udf.onsets(8000)("signal").alias("onsets"), udf.phrases(8000, {"shortest": 0.1})("signal").alias("phrases"), F.size(udf.one_shots(8000)("signal")).alias("hits"))
 
 
-# 75, 146
-@_query()
+# 75, 146: whole vectors as fingerprints
+@_query(f"""WITH RECURSIVE m AS (SELECT label, vec_id, {_V} AS e FROM embeddings), b AS (SELECT label, vec_id, sqrt(list_sum(list_transform(e, lambda v: v * v))) AS peak, list_transform(e, lambda v: v - list_avg(e)) AS c FROM m),
+v AS (SELECT label, vec_id, peak, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS v FROM b), l AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM (SELECT *, max(peak) OVER (PARTITION BY label) AS top FROM v) WHERE peak >= top * 0.08::DOUBLE),
+r AS (SELECT label, i, vec_id, peak, vec_id AS leader, [{{'id': vec_id, 'v': v}}] AS found FROM l WHERE i = 1 UNION ALL
+SELECT l.label, l.i, l.vec_id, l.peak, coalesce(list_filter(r.found, lambda f: 1 - list_inner_product(f.v, l.v) <= 0.06::DOUBLE)[1].id, l.vec_id), CASE WHEN len(list_filter(r.found, lambda f: 1 - list_inner_product(f.v, l.v) <= 0.06::DOUBLE)) > 0 THEN r.found ELSE list_append(r.found, {{'id': l.vec_id, 'v': l.v}}) END FROM r JOIN l ON l.label = r.label AND l.i = r.i + 1),
+best AS (SELECT label, leader, vec_id, peak FROM r QUALIFY row_number() OVER (PARTITION BY label, leader ORDER BY peak DESC, vec_id) = 1)
+SELECT label, vec_id, round(peak, 6) AS peak FROM best QUALIFY row_number() OVER (PARTITION BY label ORDER BY peak DESC, leader) <= 24""")
 def dedupe_greedy(spark, sf_dir):
-    import pandas as pd
-
-    from sonarframe.kernels import analysis
-
-    rows = _table(spark, sf_dir, "embeddings").select("label", "vec_id", aggregates.fingerprint("embedding").alias("fingerprint"), F.col("vec_id").cast("double").alias("start"), F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)).alias("peak"))
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        kept = analysis.dedupe_hits(frame.sort_values("vec_id").to_dict("records"))
-        return pd.DataFrame([{"label": h["label"], "vec_id": h["vec_id"], "peak": h["peak"]} for h in kept], columns=["label", "vec_id", "peak"])
-
-    return rows.groupBy("label").applyInPandas(run, "label int, vec_id long, peak double")
+    rows = _table(spark, sf_dir, "embeddings").select("label", "vec_id", aggregates.fingerprint("embedding").alias("fingerprint"), F.sqrt(F.aggregate(_signal(), F.lit(0.0), lambda a, v: a + v * v)).alias("peak"))
+    return selection.dedupe(rows, ["label"], "vec_id", "fingerprint", "peak").select("label", "vec_id", r6("peak").alias("peak"))
 
 
 # 255 to 289: one query for each engine
@@ -752,8 +748,24 @@ def primitive_bank(spark, sf_dir):
     return _tones(spark, sf_dir, 16).select("vec_id", *columns)
 
 
+def _octave_sql(b: str, target: str = "126") -> str:
+    """Twice or half of a tempo if that's nearer to the target by more than 0.15 octaves, else null."""
+    far = lambda x: f"abs(log2(({x}) / {target}))"
+    return f"CASE WHEN {far(f'{b} * 2')} < (CASE WHEN {far(f'{b} / 2')} < {far(b)} - 0.15 THEN {far(f'{b} / 2')} ELSE {far(b)} END) - 0.15 THEN {b} * 2 WHEN {far(f'{b} / 2')} < {far(b)} - 0.15 THEN {b} / 2 END"
+
+
 # 200 to 216
-@_query()
+@_query(f"""WITH p AS (SELECT p_partkey, 60.0::DOUBLE + 2 * p_size AS b, p_size % 7 = 0 AS man, p_retailprice / 100 AS d, p_size % 12 AS s, p_size % 2 = 0 AS minor, p_size % 5 = 0 AS one, p_size % 3 <> 0 AS tf, p_size % 4 <> 0 AS pf, p_size % 6 = 0 AS tape FROM part),
+o AS (SELECT *, coalesce(CASE WHEN NOT man THEN {_octave_sql("b")} END, b) AS bpm FROM p), x AS (SELECT *, d * bpm / 60 AS beats, floor(d * bpm / 60 + 0.5) AS near FROM o),
+t AS (SELECT *, [1.0::DOUBLE,2,4,8,16,32,64,128,256,512,1024] AS t1, [4.0::DOUBLE,8,12,16,20,24,28,32,40,48,56,64,80,96,112,128,160,192,256] AS t2, CASE WHEN near % 2 = 0 THEN [near] ELSE list_filter([near - 1, near + 1], lambda v: v >= 1) END AS t3, [near] AS t4 FROM x),
+y AS (SELECT *, list_transform([t1, t2, t3, t4], lambda l: l[list_position(list_transform(l, lambda c: abs(c - beats)), list_min(list_transform(l, lambda c: abs(c - beats))))]) AS best FROM t),
+w AS (SELECT *, coalesce(CASE WHEN beats >= 0.5 THEN list_filter(best, lambda c: c >= 1 AND abs(c * 60 / d / bpm - 1) <= 0.025)[1] * 60 / d END, bpm) AS src FROM y),
+r AS (SELECT *, src / 126 AS raw, greatest(0.05, least(8, src / 126)) AS ratio, {_octave_sql("src")} AS hint FROM w),
+e AS (SELECT *, CASE WHEN one THEN 'not applicable to this input type' WHEN NOT tf THEN 'tempo fitting off' WHEN abs(ratio - 1) <= 1e-6 THEN 'already at the target tempo' END AS reason FROM r),
+k AS (SELECT *, reason IS NULL AS applied, CASE WHEN tape AND reason IS NULL THEN 12 * log2(1 / ratio) ELSE 0 END AS drift, (CASE WHEN minor THEN 4 ELSE 7 END - s + 12) % 12 AS up FROM e), q AS (SELECT *, CASE WHEN up > 6 THEN up - 12 ELSE up END AS semis FROM k),
+z AS (SELECT *, greatest(-24, least(24, semis - drift)) AS stage FROM q)
+SELECT p_partkey, round(CASE WHEN applied THEN ratio ELSE 1 END, 6) AS ratio, reason, applied, round(CASE WHEN pf THEN stage ELSE 0 END, 6) AS semitones, CASE WHEN NOT pf THEN 'pitch fitting off' WHEN abs(semis) <= 1e-6 AND abs(stage) <= 1e-6 THEN 'already in the target key' END AS pitch_reason, applied OR (pf AND abs(stage) > 1e-6) AS changes_audio,
+array_to_string(list_filter([CASE WHEN applied AND hint IS NOT NULL THEN 'octave-suggestion' END, CASE WHEN applied AND (raw < 0.5 OR raw > 2) THEN 'extreme-stretch' END, CASE WHEN applied AND abs(ratio - raw) > 1e-6 THEN 'ratio-clamped' END, CASE WHEN NOT pf AND abs(drift) > 0.01 THEN 'method-pitch-drift' END, CASE WHEN pf AND abs(semis - drift) > 24 THEN 'pitch-clamped' END], lambda v: v IS NOT NULL), ',') AS warnings FROM z""")
 def conform_plan(spark, sf_dir):
     from sonarframe.plans import conform
 

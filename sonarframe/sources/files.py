@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sonarframe.functions import udf
 from sonarframe.functions.columns import col
+from sonarframe.work import table
 
 EXTENSIONS = (".wav", ".m4a", ".aif", ".aiff", ".flac", ".mp3")
 #: Folders that the engine itself writes, so that outputs aren't read as inputs.
@@ -91,8 +92,9 @@ def to_write(outputs: DataFrame, dry_run: bool = False) -> DataFrame:
 
 
 def write(outputs: DataFrame, root: str) -> DataFrame:
-    """Write (directory, name, content) rows as files below ``root``, a path or URI of any file system that Arrow knows; (path, bytes) of each.
+    """Write (directory, name, content) rows as files below ``root``, at once; (path, bytes) of each, as a table that can be read again.
 
+    ``root`` is a path or URI of any file system that Arrow knows; on a cluster, one that all executors share.
     A file is written beside its place and then moved there, so a task that's run again
     or lost leaves no half file; equal paths are the caller's to avoid (``claim_names``).
     """
@@ -114,11 +116,11 @@ def write(outputs: DataFrame, root: str) -> DataFrame:
             yield pd.DataFrame(done, columns=["path", "bytes"])
 
     udf.bounded(outputs.sparkSession)
-    return outputs.select("directory", "name", "content").mapInPandas(run, "path string, bytes long")
+    return table(outputs.select("directory", "name", "content").mapInPandas(run, "path string, bytes long"), "written")
 
 
 def remove(gone: DataFrame, root: str) -> DataFrame:
-    """Delete the files (directory, name) below ``root`` that are there; (path, removed) of each."""
+    """Delete the files (directory, name) below ``root`` that are there, at once; (path, removed) of each, as a table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -132,7 +134,7 @@ def remove(gone: DataFrame, root: str) -> DataFrame:
                     store.delete_file(path)
             yield pd.DataFrame({"path": paths, "removed": there})
 
-    return gone.select("directory", "name").mapInPandas(run, "path string, removed boolean")
+    return table(gone.select("directory", "name").mapInPandas(run, "path string, removed boolean"), "removed")
 
 
 def stale(existing: DataFrame, targets: DataFrame) -> DataFrame:
