@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sonarframe import work
 from sonarframe.functions import levels
-from sonarframe.operators import aggregates, chunks, draws, frames, grids, history, matching, recurrence, selection, spectrum
+from sonarframe.operators import aggregates, chunks, draws, frames, grids, history, matching, phrases, recurrence, selection, spectrum
 from sonarframe.queries import _CURVE, _DB, _E, _HT, _PEAKS, _SESSION, _V, _events, _hourly, _query, _sessions, _signal, _table, r6
 from sonarframe.sources import archive, pcm
 
@@ -90,12 +90,15 @@ def similar_hits(spark, sf_dir):
     return selection.dedupe(rows, ["label"], "vec_id", "fingerprint", "peak").select("label", "vec_id", r6("peak").alias("peak"))
 
 
-# 48, 114, 115: scored boundaries, best first with spacing
-@_query(f"""WITH RECURSIVE {_HT}, {_CURVE}, {_PEAKS}, d AS (SELECT event_type, h, {_DB} AS db FROM s), g AS (SELECT event_type, h, db, coalesce(avg(CASE WHEN db > -180 THEN db END) OVER (PARTITION BY event_type ORDER BY h ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), -180) AS ref FROM d),
+_SCORED = f"""{_HT}, {_CURVE}, {_PEAKS}, d AS (SELECT event_type, h, {_DB} AS db FROM s), g AS (SELECT event_type, h, db, coalesce(avg(CASE WHEN db > -180 THEN db END) OVER (PARTITION BY event_type ORDER BY h ROWS BETWEEN 11 PRECEDING AND CURRENT ROW), -180) AS ref FROM d),
 u AS (SELECT *, max(CASE WHEN db > ref - 3 THEN h END) OVER w AS up, min(h) OVER w - 1 AS first FROM g WINDOW w AS (PARTITION BY event_type ORDER BY h)), f AS (SELECT *, h - coalesce(up, first) AS down FROM u),
 q2 AS (SELECT event_type, strength, row_number() OVER (PARTITION BY event_type ORDER BY strength) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM peaks), y AS (SELECT event_type, greatest(1e-6::DOUBLE, strength) AS typical FROM q2 WHERE r = CAST(floor((n - 1) * 0.75) AS BIGINT)),
 b AS (SELECT o.event_type, o.h, o.strength, min(f.db) FILTER (f.h < o.h) AS low, max(least(f.down, f.h - (o.h - 8) + 1)) FILTER (f.h < o.h) AS run, max(f.ref) FILTER (f.h = o.h) AS here FROM peaks o JOIN f ON f.event_type = o.event_type AND f.h BETWEEN o.h - 8 AND o.h GROUP BY ALL),
-z AS (SELECT b.event_type, b.h, CASE WHEN low IS NULL THEN 0 ELSE greatest(0, here - low) / 3.0::DOUBLE + least(2, strength / typical) + run / 2.0::DOUBLE END AS score FROM b JOIN y USING (event_type)),
+z AS (SELECT b.event_type, b.h, CASE WHEN low IS NULL THEN 0 ELSE greatest(0, here - low) / 3.0::DOUBLE + least(2, strength / typical) + run / 2.0::DOUBLE END AS score FROM b JOIN y USING (event_type))"""
+
+
+# 48, 114, 115: scored boundaries, best first with spacing
+@_query(f"""WITH RECURSIVE {_SCORED},
 k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY round(score, 9) DESC, h) AS i FROM z),
 t AS (SELECT event_type, i, h, score, [h] AS cuts, true AS taken FROM k WHERE i = 1 UNION ALL SELECT k.event_type, k.i, k.h, k.score, CASE WHEN len(list_filter(t.cuts, lambda c: abs(c - k.h) < 24)) = 0 THEN list_append(t.cuts, k.h) ELSE t.cuts END, len(list_filter(t.cuts, lambda c: abs(c - k.h) < 24)) = 0 FROM t JOIN k ON k.event_type = t.event_type AND k.i = t.i + 1)
 SELECT event_type, h, round(score, 6) AS score FROM t WHERE taken""")
@@ -107,6 +110,22 @@ def spaced_cuts(spark, sf_dir):
     return cuts.select("event_type", "h", r6("score").alias("score"))
 
 
+# 36, 48, 114, 115: runs of playing, cut at the best boundaries; forced cuts are tested beside (no run is over the limit here)
+@_query(f"""WITH RECURSIVE {_SCORED}, lv AS (SELECT event_type, db, row_number() OVER (PARTITION BY event_type ORDER BY db) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM d WHERE db > -180), gt AS (SELECT event_type, db AS loud FROM lv WHERE r = CAST(floor((n - 1) * 0.9) AS BIGINT)),
+l1 AS (SELECT event_type, h, db >= loud - 6 AS loud FROM d JOIN gt USING (event_type)), a1 AS (SELECT *, CASE WHEN loud = lag(loud) OVER w THEN 0 ELSE 1 END AS new FROM l1 WINDOW w AS (PARTITION BY event_type ORDER BY h)), b1 AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY h) AS run FROM a1),
+c1 AS (SELECT event_type, run, loud OR count(*) < 3 AS inside, min(h) AS f, max(h) AS t FROM b1 GROUP BY event_type, run, loud), d1 AS (SELECT *, coalesce(lead(f) OVER w, t + 1) AS e, CASE WHEN inside = lag(inside) OVER w THEN 0 ELSE 1 END AS new FROM c1 WINDOW w AS (PARTITION BY event_type ORDER BY run)),
+i1 AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY run) AS isle FROM d1), runs AS (SELECT event_type, min(f) AS a, max(e) AS z FROM i1 WHERE inside GROUP BY event_type, isle),
+cand AS (SELECT zz.event_type, zz.h, score FROM z zz JOIN runs USING (event_type) WHERE z - a >= 9 AND zz.h > a + 5 AND zz.h < z - 5 AND score >= 0.5),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY score DESC, h) AS i FROM cand),
+t AS (SELECT event_type, i, h, [h] AS cuts, true AS taken FROM k WHERE i = 1 UNION ALL SELECT k.event_type, k.i, k.h, CASE WHEN len(list_filter(t.cuts, lambda c: abs(c - k.h) < 5)) = 0 THEN list_append(t.cuts, k.h) ELSE t.cuts END, len(list_filter(t.cuts, lambda c: abs(c - k.h) < 5)) = 0 FROM t JOIN k ON k.event_type = t.event_type AND k.i = t.i + 1),
+mk AS (SELECT event_type, a AS s, z FROM runs UNION ALL SELECT t.event_type, t.h, r.z FROM t JOIN runs r ON r.event_type = t.event_type AND t.h > r.a AND t.h < r.z WHERE taken)
+SELECT event_type, CAST(s AS DOUBLE) AS "start", CAST(least(z, coalesce(lead(s) OVER (PARTITION BY event_type ORDER BY s), z)) AS DOUBLE) AS "end" FROM mk""")
+def phrase_regions(spark, sf_dir):
+    rows = _hourly(spark, sf_dir, "event_type").withColumn("db", levels.to_db("x"))
+    peaks = frames.onset_peaks(frames.onset_curve(rows, ["event_type"], "h", "x"), ["event_type"], "h", "strength").select("event_type", "h", "strength")
+    return phrases.regions(rows.select("event_type", "h", "db"), peaks, ["event_type"], "h", "db", "strength", rest=3, shortest=6.0, longest=1000.0, preferred=500.0, spacing=5.0, back=8, deep=3.0, long=2, reference=12, drop=6.0, boundary=0.5)
+
+
 _ON = f"on0 AS (SELECT event_type AS k, floor((t - {_BEGIN}) / 1800 + 0.5) / 2 + ((event_id * 37) % 41 - 20) * 0.0001::DOUBLE AS t, value AS v FROM e WHERE value > 0), tot AS (SELECT k, count(*) AS n, max(v) AS top FROM on0 GROUP BY k), o AS (SELECT on0.* , top FROM on0 JOIN tot USING (k) WHERE n >= 8)"
 
 
