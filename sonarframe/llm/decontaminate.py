@@ -229,7 +229,8 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     contains an item if it has a region of that many characters; edits and similarity are
     the region's unless the whole item is found, and items under LEAST_CHARS characters
     are found verbatim (without ``region`` they're in nothing).  Null and empty texts
-    contain nothing; null and blank items are in nothing; an empty benchmark or table of documents gives no rows.  A pair is given once per row of ``docs``.
+    contain nothing; null and blank items are in nothing; an empty benchmark or table of documents gives no rows.  A pair is given once per row of ``docs``;
+    rows with a null id are searched too, and come out with it.  A very long text is normalised and searched whole, in one slice.
     """
     source, spark = id_text(docs, id_col, text_col).where("text is not null"), docs.sparkSession
     settle(spark)
@@ -275,6 +276,10 @@ def _slices(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that contain no benchmark item and no region of one, with all their columns; rows with a null id stay."""
+    """Rows of ``docs`` that contain no benchmark item and no region of one, with all their columns.
+
+    Rows with a null id stay, and so do null and empty texts; rows that share an id go together.  An empty table stays
+    empty, an empty benchmark leaves all rows.  Very long texts are searched whole.
+    """
     gone = passages(docs, benchmark, id_col, text_col, region=REGION).select("doc_id").distinct()
     return without(docs, gone, id_col)

@@ -195,7 +195,8 @@ def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     Learns from rows with a text and a language that aren't held out.  A null text or
     one without a letter is ``und`` with score 0, and so is every text if there is
     nothing to learn from.  The score is the winner's corrected and weighted share; equal shares go
-    to the language with more learned rows, then to the first by name.
+    to the language with more learned rows, then to the first by name.  An empty lang is a language of that name.  A very long text counts
+    whole, in slices; a row with a null id is held out and predicted; repeated rows each have a row; an empty table gives none.
     """
     settle(docs.sparkSession)
     rows = id_text(docs, id_col, text_col)

@@ -320,7 +320,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` of which one document of each component stays, the one with the smallest id."""
+    """Rows of ``docs`` of which one document of each component stays, the one with the smallest id.
+
+    Rows with a null id, and texts without words, stay; rows that share an id stay or go together.  An empty table stays
+    empty.  A very long text is one set of shingles, as large as the text.
+    """
     gone = near_duplicates(docs, id_col, text_col).where("not kept").select("doc_id").distinct()
     return without(docs, gone, id_col)
 

@@ -341,7 +341,7 @@ def assign(items: DataFrame, capacity: int = CAPACITY, deme: int = DEME, islands
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece of every row.
 
-    A null or empty text is one piece with the end id alone.  Repeated rows are packed
+    A null or empty text is one piece with the end id alone; a row with a null id is packed like others.  Repeated rows are packed
     each for itself.  An empty table gives no rows.
     """
     cut = table(pieces(docs, id_col, text_col, tokenizer, capacity, with_ids).withColumn("uid", F.monotonically_increasing_id()), "pieces")

@@ -127,7 +127,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Learns from rows with a 0/1 label that aren't held out; a null text counts as
     empty, and empty texts are scored by the empty vector's neighbours.  Without any
     label every score is 0.5.  Of texts that share an id one is learnt from, of labels that do the lesser; of equally
-    near neighbours those with smaller ids vote.
+    near neighbours those with smaller ids vote.  With labels of one class every text has it.  A very long text counts
+    whole, as one vector; a row with a null id is held out and scored; repeated rows each have a row; an empty table gives none.
     """
     settle(docs.sparkSession)
     rows = id_text(docs, id_col, text_col)

@@ -99,7 +99,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Learns from the rows of ``train_docs`` (or ``docs``) that have a 0/1 label and aren't held out.  Null
     and empty texts are scored as texts without passages.  If either class is missing
-    in the labels, every score is 0.
+    in the labels, or among those that calibrate, every score is 0.  A very long text counts whole, in one slice, and its length as the
+    longest one calibrated on; a row with a null id is held out and scored; repeated rows each have a row; an empty table gives none.
     """
     settle(docs.sparkSession)
     rows = id_text(docs, id_col, text_col)
@@ -117,6 +118,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that aren't rejected, with all their columns; rows with a null id stay."""
+    """Rows of ``docs`` that aren't rejected, with all their columns.
+
+    Rows with a null id stay; rows that share an id go together if one of them is rejected.  An empty table stays empty, and
+    without labels of both classes nothing is rejected.  Very long texts are scored whole.
+    """
     gone = score(docs, labels, id_col, text_col).where("predicted = 1").select("doc_id").distinct()
     return without(docs, gone, id_col)

@@ -61,7 +61,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     judged by its characters like the rest.  If the rules decide no URL for one of
     the verdicts, or if accepted URLs aren't likelier under the model of accepted ones,
     there is nothing to go by and the rest are allowed.  Rows with a null
-    page_id are judged like others, and repeated rows each for itself.
+    page_id are judged like others, and repeated rows each for itself.  A very long URL counts whole.
     """
     url = named(url_col).cast("string")
     rows = pages.select(named(id_col).cast("long").alias("page_id"), url.alias("url"), host(url).alias("host"), path(url).alias("path"))
