@@ -371,11 +371,9 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most:
 #: The same by counting all phrases of whole pieces.
 ORACLE = r"""
 WITH pieces AS (
-    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--
-]')) AS piece FROM documents
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
 ), worded AS (
-    SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), x -> x <> '') AS w FROM pieces
+    SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
 ), totals AS (
     SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang
 ), places AS (
