@@ -1,39 +1,29 @@
 """Selections in which an earlier or better row keeps others out: leaders of clusters, cuts with spacing.
 
-Both are what a loop over sorted rows would select.  Here rows decide in rounds: a row
-that nothing undecided nearby comes before is selected, what it keeps out drops out, and
-the rest goes on.  Nearness goes through cells and buckets, so a round is aggregations and
-equi-joins on them; its winners are few for each cell, however many rows a cell has.  Rounds end in tables.
+Both are what a loop over sorted rows would select, in rounds that end in tables.  Leaders
+are found block by block, as products of matrices: vectors of many coordinates have no cells that
+would tell them apart.  Cuts go through buckets: one that nothing undecided nearby comes before
+is selected, what it keeps out drops out, and the rest goes on.
 """
 
 from __future__ import annotations
 
-import itertools
-import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sonarframe.operators.chunks import running_sum
 from sonarframe.operators.matching import _buckets
 from sonarframe.work import table
 
-#: Coordinates that make a cell: more tell rows further apart, and give a winner 3 times as many cells each.
 AXES = 3
-#: While a round decides at least this share of what is open, the next is one too; then the rest is compared pair by pair.
-SHRINKS = 0.25
-
-
-def _dot(a, b) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-
-
-def _around(cell: str, axes: int) -> Column:
-    """The cell and its neighbours, as an array of cells."""
-    shifts = F.array(*(F.array(*(F.lit(s) for s in by)) for by in itertools.product((-1, 0, 1), repeat=axes)))
-    return F.transform(shifts, lambda by: F.zip_with(cell, by, lambda c, s: c + s))
+#: Vectors of a key that are compared with one another in one group, and how many of them at a time.
+BLOCK, STRIP = 1 << 13, 1 << 9
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str], on: Column, how: str = "inner") -> DataFrame:
@@ -47,61 +37,96 @@ def _renamed(rows: DataFrame, keys: list[str], *columns: Column) -> DataFrame:
     return rows.select(*(F.col(k).alias(f"__of_{k}") for k in keys), *columns)
 
 
+def _close(a: np.ndarray, b: np.ndarray, near: float) -> np.ndarray:
+    """Whether 1 - dot product is ``near`` at most, for all pairs; where rounding could decide, products are added one by one."""
+    far = 1 - a @ b.T
+    out = far <= near
+    i, j = np.nonzero(np.abs(far - near) < 1e-9)
+    for at in range(0, len(i), BLOCK):
+        p, q = i[at : at + BLOCK], j[at : at + BLOCK]
+        out[p, q] = 1 - np.cumsum(a[p] * b[q], axis=1)[:, -1] <= near
+    return out
+
+
+def _first_close(rows: np.ndarray, heads: np.ndarray, near: float) -> np.ndarray:
+    """For each row the first of ``heads`` that is close, -1 if none is."""
+    out = np.full(len(rows), -1)
+    for at in range(0, len(rows), STRIP):
+        close = _close(rows[at : at + STRIP], heads, near)
+        out[at : at + STRIP] = np.where(close.any(axis=1), close.argmax(axis=1), -1)
+    return out
+
+
+def _first_come(rows: np.ndarray, near: float) -> np.ndarray:
+    """For each of a block's rows, in order, the place of the first leader that is close: its own if it leads."""
+    out = np.full(len(rows), -1)
+    for at in range(0, len(rows), STRIP):
+        strip = at + np.flatnonzero(out[at : at + STRIP] < 0)
+        close = _close(rows[strip], rows[strip], near)
+        for n, i in enumerate(strip):
+            if out[i] < 0:
+                kept_out = strip[n:][close[n, n:]]
+                out[kept_out[out[kept_out] < 0]] = i
+                out[i] = i
+        heads, rest = strip[out[strip] == strip], at + STRIP + np.flatnonzero(out[at + STRIP :] < 0)
+        if len(heads) and len(rest):
+            found = _first_close(rows[rest], rows[heads], near)
+            out[rest[found >= 0]] = heads[found[found >= 0]]
+    return out
+
+
+def _matrix(rows: pa.Table) -> np.ndarray:
+    return rows["__v"].combine_chunks().flatten().to_numpy().reshape(len(rows), -1)
+
+
 def leaders(rows: DataFrame, keys: list[str], order: str, vector: str, near: float, axes: int = AXES) -> DataFrame:
     """``rows`` with ``leader``, the ``order`` of the first leader of the key within ``near`` (1 - dot product).
 
     A row leads if no leader before it is as near; ``order`` is unique in a key, vectors are
-    unit vectors (others, and null, lead themselves and nobody else).  Rows nearer than
-    that are in neighbouring cells, so none is missed.  Rounds are as many as the longest chain of rows that wait for each other.
+    unit vectors (others, and null, lead themselves and nobody else).  A key's rows are cut, in order, into
+    blocks of BLOCK.  A round takes the next block of every key: its rows are compared with the blocks of leaders
+    before it, each in a group of its own, and those that none is near to among themselves.  A group holds two
+    blocks; rounds are as many as the largest key has blocks.  ``axes`` is without effect.
     """
-    size = math.sqrt(2 * near) * (1 + 1e-9)
     length = F.aggregate(vector, F.lit(0.0), lambda s, v: s + v * v)
-    axes = min(axes, rows.select(F.coalesce(F.max(F.size(vector)), F.lit(1))).first()[0] or 1) if axes > 1 else axes
-    cell = F.transform(F.slice(vector, 1, axes), lambda v: F.floor(v / size).cast("int"))
-    known = table(rows.where(F.abs(length - 1) < 1e-6).select(*keys, F.col(order).alias("__o"), F.transform(vector, lambda v: v.cast("double")).alias("__v"), cell.alias("__cell")), "vectors")
-    close = 1 - _dot(F.col("__v"), F.col("__w")) <= near
-
-    def kept_out(open_rows: DataFrame, heads: DataFrame) -> DataFrame:
-        """Rows near to a head that isn't after them: (keys, __o)."""
-        spread = _renamed(heads, keys, F.col("__o").alias("__p"), F.col("__v").alias("__w"), F.explode(_around("__cell", axes)).alias("__c"))
-        return _joined(open_rows, spread, keys, F.col("__cell") == F.col("__c")).where((F.col("__o") >= F.col("__p")) & close).select(*keys, "__o").distinct()
-
-    def without(open_rows: DataFrame, gone: DataFrame) -> DataFrame:
-        return table(_joined(open_rows, _renamed(gone, keys, F.col("__o").alias("__p")), keys, F.col("__o") == F.col("__p"), "left_anti"), "open")
-
-    open_rows, left, found = known, known.count(), []
-    while left:
-        firsts = open_rows.groupBy(*keys, "__cell").agg(F.min("__o").alias("__o"))
-        least = firsts.select(*keys, "__o", F.explode(_around("__cell", axes)).alias("__c")).groupBy(*keys, "__c").agg(F.min("__o").alias("__least"))
-        least = _renamed(least, keys, F.col("__c"), F.col("__least"))
-        alone = _joined(firsts, least, keys, (F.col("__cell") == F.col("__c")) & (F.col("__o") == F.col("__least"))).select(*firsts.columns)
-        alone = _renamed(alone, keys, F.col("__o").alias("__p"))
-        heads = table(_joined(open_rows, alone, keys, F.col("__o") == F.col("__p"), "left_semi"), "heads")
-        found.append(heads)
-        open_rows, before = without(open_rows, kept_out(open_rows, heads)), left
-        left = open_rows.count()
-        if left > (1 - SHRINKS) * before:
-            break
-    if left:  # few rows of each cell are near to each other now: what each waits for, pair by pair
-        earlier = _renamed(open_rows, keys, F.col("__o").alias("__p"), F.col("__v").alias("__w"), F.explode(_around("__cell", axes)).alias("__c"))
-        pairs = table(_joined(open_rows, earlier, keys, F.col("__cell") == F.col("__c")).where((F.col("__o") > F.col("__p")) & close).select(*keys, "__o", "__p"), "pairs")
-        while left:
-            waiting = _renamed(pairs.select(*keys, "__o").distinct(), keys, F.col("__o").alias("__w_o"))
-            heads = table(_joined(open_rows, waiting, keys, F.col("__o") == F.col("__w_o"), "left_anti"), "heads")
-            found.append(heads)
-            out = _joined(pairs, _renamed(heads, keys, F.col("__o").alias("__h")), keys, F.col("__p") == F.col("__h")).select(*keys, "__o")
-            gone = table(out.unionByName(heads.select(*keys, "__o")).distinct(), "gone")
-            open_rows, left = without(open_rows, gone), left - gone.count()
-            decided = _renamed(gone, keys, F.col("__o").alias("__g"))
-            pairs = table(_joined(_joined(pairs, decided, keys, F.col("__o") == F.col("__g"), "left_anti"), decided, keys, F.col("__p") == F.col("__g"), "left_anti"), "pairs")
-    if not found:
+    unit = rows.where(F.abs(length - 1) < 1e-6).select(*keys, F.col(order).alias("__o"), F.transform(vector, lambda v: v.cast("double")).alias("__v"))
+    on = [*keys, "__size"]
+    placed = running_sum(unit.withColumn("__size", F.size("__v")), on, ["__o"], F.lit(1).cast("long"), "__i")
+    known = placed.withColumn("__block", F.floor(F.col("__i") / BLOCK).cast("int")).drop("__i")
+    known = table(known.repartitionByRange("__block", *on).sortWithinPartitions("__block", *on), "vectors")
+    rounds = known.agg(F.max("__block")).first()[0]
+    if rounds is None:
         return rows.withColumn("leader", F.col(order))
-    heads = found[0]
-    for h in found[1:]:
-        heads = heads.unionByName(h)
-    spread = _renamed(heads, keys, F.col("__o").alias("__p"), F.col("__v").alias("__w"), F.explode(_around("__cell", axes)).alias("__c"))
-    first = _joined(known, spread, keys, F.col("__cell") == F.col("__c")).where((F.col("__o") >= F.col("__p")) & close).groupBy(*keys, "__o").agg(F.min("__p").alias("__leader"))
-    first = _renamed(first, keys, F.col("__o").alias("__p"), F.col("__leader"))
+    kind = dict(known.dtypes)["__o"]
+    names = [f"`{n}` {t}" for n, t in known.select(*on, "__o").dtypes]
+
+    def compared(_, group):
+        group = group.sort_by("__o")
+        heads, asked = group.filter(pc.field("__head")), group.filter(~pc.field("__head"))
+        if not len(heads) or not len(asked):
+            return asked.select([*on, "__o"]).slice(0, 0).append_column("__leader", asked["__o"].slice(0, 0))
+        first = _first_close(_matrix(asked), _matrix(heads), near)
+        out = asked.select([*on, "__o"]).filter(pa.array(first >= 0))
+        return out.append_column("__leader", heads["__o"].take(pa.array(first[first >= 0])))
+
+    def decided(_, group):
+        group = group.sort_by("__o")
+        return group.append_column("__leader", group["__o"].take(pa.array(_first_come(_matrix(group), near))))
+
+    found, heads = [], []
+    for n in range(rounds + 1):
+        block = known.where(F.col("__block") == n)
+        if heads:
+            asked = block.withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("__head", F.lit(False))
+            given = reduce(DataFrame.unionByName, heads).withColumn("__of", F.col("__block")).withColumn("__head", F.lit(True))
+            near_ones = given.unionByName(asked).groupBy(*on, "__of").applyInArrow(compared, ", ".join([*names, f"__leader {kind}"]))
+            out = table(near_ones.groupBy(*on, "__o").agg(F.min("__leader").alias("__leader")), "kept-out")
+            found.append(out)
+            block = _joined(block, _renamed(out, on, F.col("__o").alias("__p")), on, F.col("__o") == F.col("__p"), "left_anti")
+        done = table(block.groupBy(*on).applyInArrow(decided, ", ".join(f"`{c}` {t}" for c, t in [*known.dtypes, ("__leader", kind)])), "decided")
+        found.append(done.select(*on, "__o", "__leader"))
+        heads.append(done.where(F.col("__leader") == F.col("__o")).drop("__leader"))
+    first = _renamed(reduce(DataFrame.unionByName, found), keys, F.col("__o").alias("__p"), F.col("__leader"))
     return _joined(rows, first, keys, F.col(order) == F.col("__p"), "left").select(*rows.columns, F.coalesce("__leader", order).alias("leader"))
 
 

@@ -42,6 +42,31 @@ def test_leaders(spark, dim, centres, spread, axes):
     assert [found["odd", i] for i in (1, 2, 3, 4)] == [1, 2, 3, 3]
 
 
+def test_leaders_of_many_blocks(spark, monkeypatch):
+    """A chain of vectors that each wait for the one before takes as many rounds as it has blocks, not links."""
+    written = []
+    monkeypatch.setattr(selection, "BLOCK", 64)
+    monkeypatch.setattr(selection, "table", lambda df, name, table=selection.table: written.append(name) or table(df, name))
+    turn = np.arange(200) * 0.2
+    v = np.stack([np.cos(turn), np.sin(turn)], axis=1) @ np.linalg.qr(np.random.default_rng(5).normal(size=(64, 2)))[0].T
+    v[150:170] = v[3]
+    frame = spark.createDataFrame([(k, i, x.tolist()) for k in (1, None) for i, x in enumerate(v)], "k int, i int, v array<double>").repartition(5)
+    found = {(r.k, r.i): r.leader for r in selection.leaders(frame, ["k"], "i", "v", 0.06).collect()}
+    for k in (1, None):
+        assert [found[k, i] for i in range(200)] == loop(v, 0.06)
+    assert written.count("decided") == 4 and len(written) < 10
+
+
+def test_pairs_on_the_edge_are_added_in_order():
+    draw = np.random.default_rng(9)
+    a, b = draw.normal(size=(70, 64)), draw.normal(size=(60, 64))
+    for i, j in ((0, 0), (69, 59), (33, 7)):
+        dot = 0.0
+        for x, y in zip(a[i], b[j]):
+            dot += x * y
+        assert selection._close(a, b, 1 - dot)[i, j] and not selection._close(a, b, np.nextafter(1 - dot, -100))[i, j]
+
+
 def test_dedupe_is_the_loop_of_the_kernel(spark):
     draw = np.random.default_rng(3)
     v = crowd(draw, 150, 5, 40, 0.3)
