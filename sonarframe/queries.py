@@ -657,6 +657,15 @@ def oracle_sql() -> dict[str, str]:
 # kernels on signals: no SQL states them, so they are checked by invariants in the tests
 
 
+#: Samples, and rows that a kernel makes a result from without a signal, of one task: files are small for the work on their rows.
+_SAMPLES, _SEEDS = 1 << 20, 1 << 12
+
+
+def _spread(rows: DataFrame, each: int) -> DataFrame:
+    """``rows`` dealt to tasks of about ``each``, and as many tasks as the cluster has cores."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each)))
+
+
 def _tones(spark: SparkSession, sf_dir: str, repeat: int = 64) -> DataFrame:
     """Vectors as short signals: each repeated to 4,096 samples and windowed by a decay, at 8 kHz."""
     x = F.transform("embedding", lambda v: v.cast("double"))
@@ -786,7 +795,7 @@ def remix_recipes(spark, sf_dir):
     def make(seed):
         return seed.map(lambda s: remix.pattern(remix.generate(remix.Grid(64, 4, 16), int(s), list(remix.STYLES)[s % len(remix.STYLES)])))
 
-    return _table(spark, sf_dir, "part").select("p_partkey", F.pandas_udf(make, "string")("p_partkey").alias("pattern"))
+    return _spread(_table(spark, sf_dir, "part").select("p_partkey"), _SEEDS).select("p_partkey", F.pandas_udf(make, "string")("p_partkey").alias("pattern"))
 
 
 # 343 to 347
@@ -797,7 +806,7 @@ def signal_graphs(spark, sf_dir):
     def make(seed):
         return seed.map(lambda s: "; ".join(primitives.describe_graph(primitives.build_graph(int(s)))))
 
-    return _table(spark, sf_dir, "part").select("p_partkey", F.pandas_udf(make, "string")("p_partkey").alias("graph"))
+    return _spread(_table(spark, sf_dir, "part").select("p_partkey"), _SEEDS).select("p_partkey", F.pandas_udf(make, "string")("p_partkey").alias("graph"))
 
 
 # 331 to 342
