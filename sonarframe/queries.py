@@ -670,7 +670,8 @@ def _tones(spark: SparkSession, sf_dir: str, repeat: int = 64) -> DataFrame:
     """Vectors as short signals: each repeated to 4,096 samples and windowed by a decay, at 8 kHz."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     long = F.flatten(F.array_repeat(x, repeat))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.transform(long, lambda v, i: (v * F.exp(-(i % 1024) / 300.0) * 0.5).cast("float")).alias("signal"))
+    rows = _spread(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _SAMPLES // (64 * repeat))
+    return rows.select("vec_id", F.transform(long, lambda v, i: (v * F.exp(-(i % 1024) / 300.0) * 0.5).cast("float")).alias("signal"))
 
 
 # 10 to 16

@@ -46,3 +46,14 @@ def test_entry_without_llm(spark, tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert not any(n.startswith('op') and n[2].isdigit() for n in e.queries()); assert len(e.oracle_sql()) > 50; print('fine')"
     assert "fine" in subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""}).stdout
+
+
+@pytest.mark.parametrize("name", ["remix_recipes", "signal_graphs", "fx_bank", "primitive_bank", "output_stages", "stretch_wsola", "stretch_varispeed", "wav_roundtrip"])
+def test_rows_of_one_small_file_are_dealt_to_tasks(spark, name, monkeypatch):
+    """Rows take long to work on and are many in a batch, so a task has few, whatever file they come from."""
+    monkeypatch.setattr(own, "_SAMPLES", 50 * 4096)
+    monkeypatch.setattr(own, "_SEEDS", 20)
+    each = {"remix_recipes": 20, "signal_graphs": 20, "fx_bank": 12, "primitive_bank": 200, "output_stages": 200}.get(name, 50)
+    df = own.QUERIES[name](spark, DATA)
+    table = "part" if each == 20 else "embeddings"
+    assert df.rdd.getNumPartitions() == max(4, -(-spark.read.parquet(f"{DATA}/{table}.parquet").count() // each))
