@@ -333,3 +333,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50)
         if np.abs(step).max() < 1e-8:
             break
     return w
+
+
+def logistic_over(rows: DataFrame, x: str, y: str, ridge: float = 1e-3, steps: int = 50) -> np.ndarray | None:
+    """``logistic`` of one feature over a table of any size, a step an aggregation; None where a class is missing."""
+    n, low, high = rows.agg(F.count("*"), F.min(y), F.max(y)).first()
+    if not n or low == high:
+        return None
+    w, penalty = np.zeros(2), np.diag([ridge, 1e-9]) * n
+    for _ in range(steps):
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(x) * float(w[0]) + float(w[1])))))
+        each = rows.select(F.col(x).alias("x"), (p - F.col(y)).alias("e"), (p * (1 - p) + 1e-9).alias("v"))
+        gx, g, hxx, hx, h = each.agg(*(F.sum(F.expr(s)) for s in ("e * x", "e", "v * x * x", "v * x", "v"))).first()
+        step = np.linalg.solve(np.array([[hxx, hx], [hx, h]]) + penalty, np.array([gx, g]) + penalty @ w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

@@ -33,6 +33,22 @@ def test_urls_that_calibrate_count_too(spark):
     assert np.allclose([got[i].ratio for i in range(len(urls))], means, atol=1e-5)
 
 
+def test_all_decided_urls_calibrate(spark, monkeypatch):
+    """Each is in one fold, scored by a model that hasn't counted it; a fit over the table is the one over arrays."""
+    urls = [f"http://a{i}.com/garden/rose{i % 7}" for i in range(90)] + [f"http://b{i}.net/es/casino{i % 7}" for i in range(70)] + ["http://c.org/x"]
+    seen = {}
+
+    def fit(rows, x, y):
+        seen["rows"] = [(r[y], r[x]) for r in rows.collect()]
+        return seen.setdefault("weights", kneser_ney.logistic_over(rows, x, y))
+
+    monkeypatch.setattr(url_filters, "logistic_over", fit)
+    url_filters.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"))
+    label, ratio = np.array(seen["rows"], dtype=float).T
+    assert len(label) == 160 and label.sum() == 90
+    assert np.allclose(seen["weights"], kneser_ney.logistic(ratio[:, None], label), rtol=1e-6)
+
+
 def test_stages_bear_columns_of_any_name(spark, tmp_path):
     rows = [(1, "some words that repeat here and there", 1, "a", None, 2.0), (2, "some words that repeat here and there", 2, "b", None, 2.0), (None, None, 3, "c", None, 2.0)]
     names = "doc_id long, text string, gone int, __gone__ string, here string, `there` double"
