@@ -51,13 +51,26 @@ def carried(
 ) -> DataFrame:
     """``placed`` (``numbered``) with the columns of ``apply``.
 
+    A group is a chunk, with the rows of many keys where these are short; only a chunk's first and last key can go on in
+    others, so only these are summed up.  What ``combine`` gives for a key's first summary mustn't depend on it.
     summarise: a chunk's rows in order -> one row of ``summary``.  combine: a key's
     summaries in order -> for each what goes into it, ``carry``.  apply: a chunk's rows in
     order, with the columns of ``carry`` in each -> ``result``, a value a row.
     """
 
+    def segments(rows):
+        """A chunk's rows in order, cut where the key changes."""
+        rows = rows.sort_by("__place")
+        cuts = np.zeros(max(0, len(rows) - 1), dtype=bool)
+        for k in keys:
+            codes = rows[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            cuts |= codes[1:] != codes[:-1]
+        ends = [0, *(np.flatnonzero(cuts) + 1).tolist(), len(rows)]
+        return [rows.slice(i, j - i) for i, j in zip(ends, ends[1:])]
+
     def summed(_, rows):
-        return _with(rows, [*keys, "__chunk"], 1, summarise(rows.sort_by("__place")))
+        parts = segments(rows)
+        return pa.concat_tables([_with(p, [*keys, "__chunk"], 1, summarise(p)) for p in (parts if len(parts) < 3 else (parts[0], parts[-1]))])
 
     def combined(_, rows):
         rows = rows.sort_by("__chunk")
@@ -66,24 +79,28 @@ def carried(
             out = out.append_column(name, values)
         return out
 
-    def applied(_, rows):
-        rows = rows.sort_by("__place")
-        out = rows.select(kept)
-        for name, values in apply(rows).items():
-            out = out.append_column(name, values)
-        return out
+    def applied(rows, carries):
+        parts, out = segments(rows), []
+        of = {tuple(c[k] for k in keys): i for i, c in enumerate(carries.select(keys).to_pylist())}
+        fresh = pa.table(combine(pa.table(summarise(parts[0])))) if len(parts) > 2 else None  # what goes into a key's first chunk, whatever its summary
+        for i, p in enumerate(parts):
+            edge = i in (0, len(parts) - 1)
+            before = carries.slice(of[tuple(p[k][0].as_py() for k in keys)], 1) if edge else fresh.slice(0, 1)
+            before, done = before.select(names).take(pa.array(np.zeros(len(p), dtype=np.int64))), p.select(kept)
+            given = done
+            for name in names:
+                given = given.append_column(name, before[name])
+            for name, values in apply(given).items():
+                done = done.append_column(name, values)
+            out.append(done)
+        return pa.concat_tables(out)
 
     kept = placed.columns
     # no function of a group runs twice: what is combined is a table
-    chunks = table(placed.groupBy(*keys, "__chunk").applyInArrow(summed, _schema(placed, [*keys, "__chunk"], summary)), "summaries")
+    chunks = table(placed.groupBy("__chunk").applyInArrow(summed, _schema(placed, [*keys, "__chunk"], summary)), "summaries")
     carries = table(chunks.groupBy(*keys).applyInArrow(combined, _schema(placed, [*keys, "__chunk"], carry)), "carries")
     names = [c for c in carries.columns if c not in (*keys, "__chunk")]
-    carries = carries.select(*(F.col(k).alias(f"__of_{k}") for k in keys), F.col("__chunk").alias("__of_chunk"), *names)
-    same = F.col("__chunk") == F.col("__of_chunk")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"__of_{k}"))
-    rows = placed.join(carries, same).drop(*(f"__of_{k}" for k in keys), "__of_chunk")
-    return rows.groupBy(*keys, "__chunk").applyInArrow(applied, _schema(placed, kept, result))
+    return placed.groupBy("__chunk").cogroup(carries.groupBy("__chunk")).applyInArrow(applied, _schema(placed, kept, result))
 
 
 def running_sum(rows: DataFrame, keys: list[str], order: list[str], value: Column, out: str, chunk: int = CHUNK) -> DataFrame:

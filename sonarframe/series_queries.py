@@ -183,7 +183,7 @@ SELECT user_id, event_id, vs[cur] AS current, cur > 1 AS can_undo, cur < len(vs)
 def edit_replay(spark, sf_dir):
     act = F.when(F.col("event_type").isin("click", "purchase", "signup"), history.COMMIT).when(F.col("event_type") == "view", history.UNDO).otherwise(history.REDO)
     rows = _events(spark, sf_dir).select("user_id", "t", "event_id", act.alias("act"))
-    return history.replay(rows, ["user_id"], ["t", "event_id"], "act", "event_id", 5, 64).select("user_id", "event_id", "current", "can_undo", "can_redo")
+    return history.replay(rows, ["user_id"], ["t", "event_id"], "act", "event_id", 5).select("user_id", "event_id", "current", "can_undo", "can_redo")
 
 
 def _u(salt: str, *parts: str) -> str:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,22 @@ def test_next_kept_follows_the_difference():
     for last in times:
         want = next((i for i, t in enumerate(times) if t - last >= 0.1), len(times))
         assert chunks._next_kept(times, np.array([last]), 0.1)[0] == want
+
+
+def test_short_keys_share_a_chunk(spark):
+    """Groups are as many as chunks, however many keys there are; a key in the middle of a chunk begins afresh."""
+    rows = [(k, i, float(k + i)) for k in range(90) for i in range(1 + k % 7)] + [(None, i, 1.0) for i in range(70)]
+    placed = chunks.numbered(spark.createDataFrame(rows, "k int, i int, v double"), ["k"], ["i"], 64)
+    asked = spark.sparkContext.accumulator(0)
+
+    def summarise(part):
+        asked.add(1)
+        return {"sum": pa.array([sum(part["v"].to_pylist())])}
+
+    def combine(part):
+        return {"before": pa.array(np.concatenate([[0.0], np.cumsum(part["sum"].to_numpy())[:-1]]))}
+
+    got = chunks.carried(placed, ["k"], summarise, "sum double", combine, "before double", lambda part: {"total": pa.array(part["before"][0].as_py() + np.cumsum(part["v"].to_numpy()))}, "total double")
+    found = {(r.k, r.i): r.total for r in got.collect()}
+    assert found == {(k, i): float(sum(v for q, j, v in rows if q == k and j <= i)) for k, i, _ in rows}
+    assert asked.value <= 3 * placed.select("__chunk").distinct().count() < 90
