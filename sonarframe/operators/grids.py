@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,24 +190,27 @@ def bar_vote(hits: DataFrame, keys: list[str], onset: str, peak: str, strength:
 
     Snares on 2 and 4 count, on 1 and 3 against by 0.6; kicks on 1 by 0.5 and on 3 by 0.25.  A shift wins with 0.6 and 30 % more,
     or as good and nearer to a bar line at 0; a key with fewer than two snares keeps its downbeat.
+    What a hit counts is added and compared as a decimal of 12 places: floating-point sums depend on the order of the hits, and
+    would decide at random about a shift that is better by just 0.6.  A hit whose weight isn't finite counts nothing.
     """
     loud = F.col(peak) >= LEAST_PEAK
-    rows = hits.withColumn("__w", F.when(loud, _weight(peak, strength)).otherwise(0.0))
+    rows = hits.withColumn("__w", F.when(loud, _weight(peak, strength)))
     columns = []
     for k in range(8):
         pos = F.pmod((F.col(onset) - (F.col(downbeat) + F.col(beat) * (k / 2))) / F.col(beat), F.lit(4.0))
         near = lambda target, pos=pos: F.least(F.abs(pos - target), 4 - F.abs(pos - target)) <= NEAR
-        gain = F.when(F.col(label) == "snare", F.when(near(1) | near(3), 1.0).when(near(0) | near(2), -0.6).otherwise(0.0)).when(F.col(label) == "kick", F.when(near(0), 0.5).when(near(2), 0.25).otherwise(0.0)).otherwise(0.0)
-        columns.append(F.sum(gain * F.col("__w")).alias(f"__s{k}"))
+        gain = F.when(F.col(label) == "snare", F.when(near(1) | near(3), 1.0).when(near(0) | near(2), -0.6)).when(F.col(label) == "kick", F.when(near(0), 0.5).when(near(2), 0.25))
+        columns.append(F.coalesce(F.sum((gain * F.col("__w")).try_cast("decimal(24,12)")), F.lit(0).cast("decimal(34,12)")).alias(f"__s{k}"))
     per = rows.groupBy(*keys).agg(F.min(beat).alias("__beat"), F.min(downbeat).alias("__down"), F.count_if((F.col(label) == "snare") & loud).alias("__snares"), *columns)
     bar = F.col("__beat") * 4
     shift = lambda k: F.col("__down") + F.col("__beat") * (k / 2)
     edge = lambda d: F.least(F.pmod(d, bar), bar - F.pmod(d, bar))
     every = F.array(*(F.struct(shift(k).alias("d"), F.col(f"__s{k}").alias("s"), edge(shift(k)).alias("edge"), F.lit(True).alias("moved")) for k in range(1, 8)))
     start = F.struct(F.col("__down").alias("d"), F.col("__s0").alias("s"), edge(F.col("__down")).alias("edge"), F.lit(False).alias("moved"))
-    wins = lambda best, x: (x.s > best.s + 1e-6) | ((F.abs(x.s - best.s) <= 1e-6) & best.moved & (x.edge < best.edge))
+    same = F.lit(Decimal("0.000001"))
+    wins = lambda best, x: (x.s > best.s + same) | ((F.abs(x.s - best.s) <= same) & best.moved & (x.edge < best.edge))
     best = per.withColumn("__b", F.aggregate(every, start, lambda best, x: F.when(wins(best, x), x).otherwise(best)))
-    better = F.col("__b.s") >= F.col("__s0") + F.greatest(F.lit(0.6), F.abs("__s0") * 0.3)
-    tied = (F.abs(F.col("__b.s") - F.col("__s0")) <= 1e-6) & (F.col("__b.edge") + 0.01 < edge(F.col("__down")))
+    better = F.col("__b.s") >= F.col("__s0") + F.greatest(F.lit(Decimal("0.6")), F.abs("__s0") * Decimal("0.3"))
+    tied = (F.abs(F.col("__b.s") - F.col("__s0")) <= same) & (F.col("__b.edge") + 0.01 < edge(F.col("__down")))
     change = (F.col("__snares") >= 2) & F.col("__b.moved") & (better | tied)
     return best.select(*keys, F.when(change, F.pmod(F.col("__b.d"), bar)).otherwise(F.col("__down")).alias("downbeat"))
