@@ -24,9 +24,11 @@ from sonarframe.llm.shared import fresh, drop, named, shared_dir, table, work_pa
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Memory bounded over all stores of an executor; no space allocated ahead for the log files of many small stores.
+#: Memory bounded over all stores of an executor; no space allocated ahead for the log files of many small stores; a commit writes one file, its changes.
 _ROCKS = "spark.sql.streaming.stateStore.rocksdb."
-STREAM_SETTINGS = {PROVIDER: ROCKSDB, f"{_ROCKS}boundedMemoryUsage": "true", f"{_ROCKS}maxMemoryUsageMB": "128", f"{_ROCKS}writeBufferSizeMB": "4", f"{_ROCKS}allowFAllocate": "false"}
+STREAM_SETTINGS = {PROVIDER: ROCKSDB, f"{_ROCKS}boundedMemoryUsage": "true", f"{_ROCKS}maxMemoryUsageMB": "128", f"{_ROCKS}writeBufferSizeMB": "4", f"{_ROCKS}allowFAllocate": "false", f"{_ROCKS}changelogCheckpointing.enabled": "true"}
+#: For checkpoints in a mounted folder, where a rename replaces: Spark's default starts two processes of an executor's size for each rename there.
+LOCAL_SETTINGS = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 
 
 MOST_BITS, _PIECE = 1 << 27, 32768  # bits of the bitmap, and of one of bitmap_construct_agg
@@ -48,6 +50,12 @@ def _located(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Colu
         return docs.select(*columns, F.lit("").alias("file"), F.lit(0).cast("long").alias("row"))
 
 
+def _mounted(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is in a file system that is mounted, not in a store of its own."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+
+
 def keyed_state(arrivals: DataFrame, checkpoint: str, out: str) -> None:
     """Run the stream of (digest, doc_id, file, row) over all that has arrived; ``checkpoint`` resumes it.
 
@@ -57,9 +65,10 @@ def keyed_state(arrivals: DataFrame, checkpoint: str, out: str) -> None:
     """
     spark = arrivals.sparkSession
     state = arrivals.groupBy("digest").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "file", "row")).alias("keep"))
-    before = {k: spark.conf.get(k, None) for k in STREAM_SETTINGS}
+    settings = STREAM_SETTINGS | (LOCAL_SETTINGS if _mounted(spark, checkpoint) else {})
+    before = {k: spark.conf.get(k, None) for k in settings}
     try:
-        for k, v in STREAM_SETTINGS.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         query = (
             state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)

@@ -197,3 +197,19 @@ def test_sql(spark, name):
     columns = sorted(df.columns)
     assert columns == sorted(found.columns)
     assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == sorted(tuple(r[found.columns.index(c)] for c in columns) for r in found.fetchall())
+
+
+def test_state_is_committed_as_changes_in_one_file(spark, tmp_path):
+    """A commit of a store is one file, written without links read by other processes; a later run of the stream goes on from it."""
+    schema = "doc_id long, digest string, file string, row long"
+    arrived, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    before = {k: spark.conf.get(k, None) for k in exact_dedup.STREAM_SETTINGS | exact_dedup.LOCAL_SETTINGS}
+    assert exact_dedup._mounted(spark, checkpoint)
+    for at in range(2):
+        spark.createDataFrame([(i + 40 * at, f"d{i % 7}", "f", i) for i in range(40)], schema).write.mode("append").parquet(arrived)
+        exact_dedup.keyed_state(spark.readStream.schema(schema).parquet(arrived), checkpoint, str(tmp_path / "out"))
+    found = spark.read.parquet(str(tmp_path / "out")).groupBy("digest").agg(F.max("group_size").alias("n"), F.max("keep.doc_id").alias("last")).collect()
+    assert {r.digest: (r.n, r["last"]) for r in found} == {f"d{k}": (2 * len(range(k, 40, 7)), 40 + max(range(k, 40, 7))) for k in range(7)}
+    files = [f for f in glob.glob(f"{checkpoint}/state/**/*", recursive=True) if os.path.isfile(f)]
+    assert any(f.endswith(".changelog") for f in files) and not any(f.endswith((".zip", ".sst")) for f in files)
+    assert before == {k: spark.conf.get(k, None) for k in before}
