@@ -57,3 +57,11 @@ def test_rows_of_one_small_file_are_dealt_to_tasks(spark, name, monkeypatch):
     df = own.QUERIES[name](spark, DATA)
     table = "part" if each == 20 else "embeddings"
     assert df.rdd.getNumPartitions() == max(4, -(-spark.read.parquet(f"{DATA}/{table}.parquet").count() // each))
+
+
+@pytest.mark.parametrize("name", ["stretch_vocoder", "stretch_repeat", "stretch_smear"])
+def test_engines_get_few_signals_a_task(spark, name, monkeypatch):
+    """A worker's memory is that of a task's signals, so it doesn't grow with the table."""
+    monkeypatch.setattr(own, "_SAMPLES", 50 * 4096)
+    tasks = own.QUERIES[name](spark, DATA).rdd.getNumPartitions()
+    assert tasks == max(4, -(-spark.read.parquet(f"{DATA}/embeddings.parquet").count() // 50))
