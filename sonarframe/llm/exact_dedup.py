@@ -27,7 +27,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 #: Memory bounded over all stores of an executor; no space allocated ahead for the log files of many small stores; a commit writes one file, its changes.
 _ROCKS = "spark.sql.streaming.stateStore.rocksdb."
 STREAM_SETTINGS = {PROVIDER: ROCKSDB, f"{_ROCKS}boundedMemoryUsage": "true", f"{_ROCKS}maxMemoryUsageMB": "128", f"{_ROCKS}writeBufferSizeMB": "4", f"{_ROCKS}allowFAllocate": "false", f"{_ROCKS}changelogCheckpointing.enabled": "true"}
-#: For checkpoints in a mounted folder, where a rename replaces: Spark's default starts two processes of an executor's size for each rename there.
+#: For checkpoints in a mounted folder, where a rename replaces: Spark's default starts processes (readlink) from the executor for renames there.
 LOCAL_SETTINGS = {"spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager"}
 
 
