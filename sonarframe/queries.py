@@ -661,16 +661,18 @@ def oracle_sql() -> dict[str, str]:
 _SAMPLES, _SEEDS = 1 << 20, 1 << 12
 
 
-def _spread(rows: DataFrame, each: int) -> DataFrame:
-    """``rows`` dealt to tasks of about ``each``, and as many tasks as the cluster has cores."""
-    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // each)))
+def _spread(rows: DataFrame, most: int, size: Column | None = None) -> DataFrame:
+    """``rows`` dealt to tasks of about ``most``, counted in rows or in what ``size`` says a row has, and as many tasks as the cluster has cores."""
+    count, mean = rows.agg(F.count(F.lit(1)), F.avg(F.lit(1) if size is None else F.greatest(size, F.lit(0)))).first()
+    each = max(1, int(most // max(1, mean or 1)))
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-count // each)))
 
 
 def _tones(spark: SparkSession, sf_dir: str, repeat: int = 64) -> DataFrame:
-    """Vectors as short signals: each repeated to 4,096 samples and windowed by a decay, at 8 kHz."""
+    """Vectors as short signals: each repeated (64 elements to 4,096 samples) and windowed by a decay, at 8 kHz."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     long = F.flatten(F.array_repeat(x, repeat))
-    rows = _spread(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _SAMPLES // (64 * repeat))
+    rows = _spread(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), _SAMPLES, F.size("embedding") * repeat)
     return rows.select("vec_id", F.transform(long, lambda v, i: (v * F.exp(-(i % 1024) / 300.0) * 0.5).cast("float")).alias("signal"))
 
 

@@ -65,3 +65,16 @@ def test_engines_get_few_signals_a_task(spark, name, monkeypatch):
     monkeypatch.setattr(own, "_SAMPLES", 50 * 4096)
     tasks = own.QUERIES[name](spark, DATA).rdd.getNumPartitions()
     assert tasks == max(4, -(-spark.read.parquet(f"{DATA}/embeddings.parquet").count() // 50))
+
+
+@pytest.mark.parametrize("name", ["stretch_vocoder"])
+def test_longer_vectors_get_fewer_a_task(spark, name, monkeypatch, tmp_path):
+    """Tasks are bounded by the samples that the rows have, not by those of vectors of 64 elements; rows without a vector stay."""
+    monkeypatch.setattr(own, "_SAMPLES", 50 * 4096)
+    rows = [(i, [0.25, -0.5] * 320) for i in range(199)] + [(199, None), (200, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = own.QUERIES[name](spark, str(tmp_path))
+    tasks = 11 if name == "output_stages" else 41
+    assert df.rdd.getNumPartitions() == tasks
+    if name == "output_stages":
+        assert sorted(r.vec_id for r in df.select("vec_id").collect()) == list(range(201))
