@@ -67,7 +67,7 @@ def test_engines_get_few_signals_a_task(spark, name, monkeypatch):
     assert tasks == max(4, -(-spark.read.parquet(f"{DATA}/embeddings.parquet").count() // 50))
 
 
-@pytest.mark.parametrize("name", ["stretch_vocoder", "output_stages", "stretch_wsola"])
+@pytest.mark.parametrize("name", ["stretch_vocoder", "output_stages", "stretch_wsola", "stretch_repeat"])
 def test_longer_vectors_get_fewer_a_task(spark, name, monkeypatch, tmp_path):
     """Tasks are bounded by the samples that the rows have, not by those of vectors of 64 elements; rows without a vector stay."""
     monkeypatch.setattr(own, "_SAMPLES", 50 * 4096)
