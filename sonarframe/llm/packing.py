@@ -12,6 +12,7 @@ fills bins and more than one deme is left.
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from bisect import bisect_left, insort
@@ -37,6 +38,14 @@ SHRINKS = 0.9
 _MARK = b"<|"
 #: Distinct words whose tokens a worker keeps.
 MAX_WORDS = 1_000_000
+#: What a tokenizer must do so that words may be cut at ASCII kinds and encoded many at once.
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Letters, digits and other signs of ASCII; 0 for white space and all other bytes.
+_KIND = np.array([0 if N.IS_SPACE[b] or b >= 0x80 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], dtype=np.uint8)
+_LETTER = np.array([ord("a") <= b <= ord("z") for b in range(256)])
+#: Between words that are encoded together, and how many at most.
+_BETWEEN, _TOGETHER = np.frombuffer(b" \0 ", dtype=np.uint8), 4096
 
 
 def default_tokenizer() -> str:
@@ -58,14 +67,32 @@ class Encoder:
     Words of up to seven bytes are their own key.  Longer ones are found by hash and
     their bytes compared with the word's that was kept; what differs, and words over
     ``textnum.LONG_WORD`` bytes, are tokenised each time.
+
+    A tokenizer of the known pattern always cuts where ASCII letters, digits and other
+    signs meet, so its words are what lies between: far fewer are distinct.
     """
 
     def __init__(self, path: str, weaken: int = 0):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.weaken = Tokenizer.from_file(path), weaken
+        self.between = self._mark() if self._known() else None
         self._clear()
 
+    def _known(self) -> bool:
+        """Whether the tokenizer splits by ``_PATTERN`` after ``_NORMALIZERS``, and its special tokens begin with ``_MARK``."""
+        state = [json.loads(x.__getstate__()) if x is not None else {} for x in (self.tokenizer.pre_tokenizer, self.tokenizer.normalizer)]
+        first, *rest = state[0].get("pretokenizers", [{}])
+        split = first.get("type") == "Split" and first.get("pattern") == {"Regex": _PATTERN} and first.get("behavior") == "Removed" and first.get("invert")
+        byte_level = [r.get("type") for r in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+        special = all(t.content.startswith(_MARK.decode()) for t in self.tokenizer.get_added_tokens_decoder().values())
+        return bool(split and byte_level and state[1].get("normalizers") == _NORMALIZERS and special)
+
+    def _mark(self) -> int | None:
+        """The id that NUL alone has, which no text without a NUL has."""
+        ids = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        return ids[0] if len(ids) == 1 else None
+
     def _clear(self):
         self.table = KeyTable(np.zeros(0, np.uint64))
         self.at, self.size, self.flat, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32), 0
@@ -81,11 +108,35 @@ class Encoder:
 
     def _tokens(self, part: N.Slice, where: np.ndarray) -> tuple[np.ndarray, list[int]]:
         """Numbers of tokens of the words at ``where``, and the tokens."""
+        if self.between is not None and len(where) and not (part.data == 0).any():
+            size = part.ends[where] - part.starts[where]
+            plain = np.logical_and.reduceat(_LETTER[part.data[N.ranges(part.starts[where], size)]], np.cumsum(size) - size)
+            kinds = [np.flatnonzero(plain), np.flatnonzero(~plain)]
+            found = [(at, run(part, where[at])) for k, run in zip(kinds, (self._letters, self._together)) for at in np.split(k, range(_TOGETHER, len(k), _TOGETHER)) if len(at)]
+            size[np.concatenate([at for at, _ in found])] = np.concatenate([n for _, (n, _) in found])
+            tokens, heads = np.empty(int(size.sum()), dtype=np.uint32), np.cumsum(size) - size
+            for at, (n, some) in found:
+                tokens[N.ranges(heads[at], n)] = some
+            return size, tokens
         words = [part.data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(part.starts[where].tolist(), part.ends[where].tolist())]
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return np.array([len(i) for i in ids], dtype=np.int64), [t for i in ids for t in i]
-
-    def _put(self, n: int, size: np.ndarray, tokens: list[int]) -> None:
+        return np.array([len(i) for i in ids], dtype=np.int64), np.array([t for i in ids for t in i], dtype=np.uint32)
+
+    def _letters(self, part: N.Slice, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_tokens``, for words of a to z alone: they are normal already, and one word to the tokenizer's model."""
+        words = _joined(part, where, _BETWEEN[:1]).tobytes().decode().split()
+        tokenize = self.tokenizer.model.tokenize
+        ids = [[t.id for t in tokenize(w)] for w in words]
+        return np.array([len(i) for i in ids], dtype=np.int64), np.array([t for i in ids for t in i], dtype=np.uint32)
+
+    def _together(self, part: N.Slice, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_tokens``, as one text: white space separates, and a NUL after each word tells where it ends."""
+        text = _joined(part, where, _BETWEEN)
+        ids = np.array(self.tokenizer.encode_batch_fast([text.tobytes().decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        ends = np.flatnonzero(ids == self.between)
+        return np.diff(ends, prepend=-1) - 1, ids[ids != self.between]
+
+    def _put(self, n: int, size: np.ndarray, tokens: np.ndarray) -> None:
         """Tokens of words numbered from ``n`` on."""
         total = len(tokens)
         self.at, self.size, self.flat = _room(self.at, n + len(size)), _room(self.size, n + len(size)), _room(self.flat, self.used + total)
@@ -115,6 +166,8 @@ class Encoder:
 
     def ids(self, part: N.Slice) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of a slice, each text followed by END_ID; offsets of texts)."""
+        if self.between is not None:
+            part = _cut(part)
         keys, length = self._keys(part), part.ends - part.starts
         index, brief = self.table.find(keys), length <= N.LONG_WORD
         missing = np.flatnonzero((index < 0) & brief)
@@ -138,6 +191,48 @@ class Encoder:
         return np.insert(ids, ends, END_ID), np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
 
 
+def _joined(part: N.Slice, where: np.ndarray, between: np.ndarray) -> np.ndarray:
+    """The bytes of words, ``between`` after each."""
+    size, gap = part.ends[where] - part.starts[where], len(between)
+    heads = np.cumsum(size + gap) - (size + gap)
+    text = np.empty(int((size + gap).sum()), dtype=np.uint8)
+    text[N.ranges(heads, size)] = part.data[N.ranges(part.starts[where], size)]
+    for i, b in enumerate(between.tolist()):
+        text[heads + size + i] = b
+    return text
+
+
+def _marks(data: np.ndarray) -> np.ndarray:
+    return (data[:-1] == _MARK[0]) & (data[1:] == _MARK[1])
+
+
+def _words_at(part: N.Slice, marked: np.ndarray) -> np.ndarray:
+    """Numbers of the words with a marked byte (none of them white space)."""
+    of = np.searchsorted(part.starts, np.flatnonzero(marked), side="right") - 1
+    return of[np.diff(of, prepend=-1) > 0]
+
+
+def _cut(part: N.Slice) -> N.Slice:
+    """The slice with its words cut where ASCII letters, digits and other signs meet.
+
+    Both bytes of a cut are ASCII, so nothing is composed across it.  Words with an apostrophe, which may begin a
+    contraction, and words that may hold a special token stay whole.
+    """
+    kind = _KIND[part.data]
+    at = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+    whole = np.zeros(len(part.starts) + 1, dtype=bool)
+    odd = part.data == ord("'")
+    odd[:-1] |= _marks(part.data)
+    whole[_words_at(part, odd)] = True
+    at = at[~whole[np.searchsorted(part.starts, at, side="right") - 1]]
+    first, last = np.zeros((2, len(part.data) + 1), dtype=bool)
+    first[part.starts] = first[at] = last[part.ends] = last[at] = True
+    starts = np.flatnonzero(first)
+    out = N.Slice(part.row, part.data, part.offsets)
+    out._words = starts, np.flatnonzero(last), np.searchsorted(starts, part.offsets)
+    return out
+
+
 def _folded(part: N.Slice) -> np.ndarray:
     """The slice's bytes with A-Z lower-cased in words of ASCII letters alone that can't hold a special token.
 
@@ -145,9 +240,8 @@ def _folded(part: N.Slice) -> np.ndarray:
     have no composed form where the small letter has one; so other words stay.
     """
     odd = part.data >= 0x80
-    odd[:-1] |= (part.data[:-1] == _MARK[0]) & (part.data[1:] == _MARK[1])
-    before = np.concatenate([[0], np.cumsum(odd)])
-    words = np.flatnonzero(before[part.ends] > before[part.starts])
+    odd[:-1] |= _marks(part.data)
+    words = _words_at(part, odd)
     kept = N.ranges(part.starts[words], part.ends[words] - part.starts[words])
     out = N.LOWER[part.data]
     out[kept] = part.data[kept]

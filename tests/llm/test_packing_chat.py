@@ -112,3 +112,26 @@ def test_pipeline(spark, tmp_path):
     kept = {r.doc_id for r in before.select("doc_id").collect()}
     assert {r.doc_id for r in docs.select("doc_id").distinct().collect()} == kept
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontaminate", "pack"]
+
+
+def test_words_are_cut_where_the_tokenizer_always_cuts():
+    """Ids are those of whole texts, whatever signs meet, and a word isn't learned again for each sign beside it."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from sonarframe.llm import textnum as N
+
+    path = packing.default_tokenizer()
+    tokenizer, known = Tokenizer.from_file(path), packing.Encoder(path)
+    signs = ["a", "B", "t", "s", "re", "'", "'s", "'T", "''", "7", "42", ",", ".", "!", "=", "<", "|", "<|", "|>", "<|endoftext|>", "<|StartOfText|>", "é", "é", "́", "̸", "Å", "Å", "K", ";", "`", "Σ", "İ", "ß", "…", "’s", "٣", "½", "漢", " ", " ", "\u0085", "\x1c", "\x7f", "😀", " ", " ", "\n", "\t"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 24))) for _ in range(3000)]
+    for some in (texts, [t.replace("!", "\0") for t in texts[:500]], ["", " ", "'", "a'", "a" * 300 + ",1"]):
+        for part in N.slices(pa.array(some), limit=1 << 12):
+            part.data = packing._folded(part)
+            ids, offsets = known.ids(part)
+            for i in range(len(part)):
+                assert ids[offsets[i] : offsets[i + 1]].tolist() == [*tokenizer.encode(some[part.row + i], add_special_tokens=False).ids, packing.END_ID], some[part.row + i]
+    few = packing.Encoder(path)
+    few.ids(next(N.slices(pa.array([" ".join(f"w{chr(97 + i)}{sign}" for i in range(26) for sign in (",", ".", "***", "42", ");", ""))]))))
+    assert few.table.n == 26 + 5
