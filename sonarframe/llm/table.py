@@ -42,9 +42,9 @@ class KeyTable:
         self._insert(keys)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        at = (N.mix(keys) & self.mask).astype(np.int64)
-        out = self.index[at]
-        again = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        at = (N.mix(keys) & self.mask).view(np.int64)
+        out = self.index.take(at, mode="clip")  # all are within: the mode that checks least
+        again = np.flatnonzero((out >= 0) & (self.keys.take(at, mode="clip") != keys))
         out[again] = -1
         at = at[again]
         while len(again):

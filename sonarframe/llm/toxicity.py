@@ -40,9 +40,12 @@ def features(model: Model, column) -> Iterator[tuple[int, np.ndarray]]:
         for i, width in enumerate(PASSAGES):
             if not len(d):
                 break
-            at = np.arange(len(d))
-            first = np.maximum(at + 1 - width, np.repeat(part.offsets[:-1], lengths))
-            out[some, i] = np.maximum.reduceat((sums[at + 1] - sums[first]) / width, heads)
+            passages = np.empty(len(d))
+            passages[width - 1 :] = sums[width:] - sums[:-width]
+            early = np.minimum(lengths[some], width - 1)  # passages that would begin before their text
+            at = N.ranges(heads, early)
+            passages[at] = sums[at + 1] - np.repeat(sums[heads], early)
+            out[some, i] = np.maximum.reduceat(passages, heads) / width
         out[:, -2] = (sums[part.offsets[1:]] - sums[part.offsets[:-1]]) / np.maximum(lengths, 1)
         out[:, -1] = np.log1p(lengths)
         yield part.row, out

@@ -137,3 +137,48 @@ def test_slices_are_lazy_and_whole():
     parts = list(N.slices(texts, limit=10))
     assert sum(len(p) for p in parts) == 5 and [len(p.starts) for p in parts] == [int(np.diff(p.word_offsets).sum()) for p in parts]
     assert sum(len(p.starts) for p in parts) == 6
+
+
+def test_keys_are_sorted_themselves():
+    """Counts and places of keys are those of a plain count, and cost far less than sorting the places does."""
+    import time
+
+    draw = np.random.default_rng(12)
+    for size, kinds in ((0, 1), (1, 1), (70_000, 3), (200_000, 9_000), (65_536, 1 << 20)):
+        keys, yes = draw.integers(0, kinds, size).astype(np.uint64) << np.uint64(28), draw.integers(0, 2, size).astype(np.uint64)
+        if size:
+            want, where = np.unique(keys, return_inverse=True)
+            got = kneser_ney.tally(keys << np.uint64(1) | yes)
+            assert all(np.array_equal(a, b) for a, b in zip(got, (want, np.bincount(where, yes == 1), np.bincount(where, yes == 0))))
+        for shift in (0, 20):  # beyond six bytes, too
+            some = [keys << np.uint64(shift), keys[: size // 3] << np.uint64(shift), keys[:0]]
+            every, places = kneser_ney.distinct(iter(some))
+            assert np.array_equal(every, np.unique(some[0]))
+            assert all(np.array_equal(every[p], k) and len(p) == len(k) for k, p in zip(some, places))
+    keys = draw.integers(0, 1 << 19, 1 << 20).astype(np.uint64) << np.uint64(28)
+
+    def seconds(f):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            f()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    plain = seconds(lambda: np.unique(keys, return_inverse=True))
+    assert seconds(lambda: kneser_ney.tally(keys << np.uint64(1))) < 0.6 * plain
+    assert seconds(lambda: list(kneser_ney._ranked(keys[i : i + 65536]) for i in range(0, len(keys), 65536))) < 0.8 * plain
+
+
+def test_counts_of_many_slices(spark, monkeypatch):
+    """Every gram of every text is counted by its label, however many are counted at once."""
+    monkeypatch.setattr(kneser_ney, "COUNTED", 500)
+    draw = np.random.default_rng(13)
+    texts = [(random_text(draw, int(n)) if n else "", int(i % 3 == 0)) for i, n in enumerate(draw.integers(0, 400, 90))]
+    want = {}
+    for text, y in texts:
+        padded = b"\n" * 5 + kneser_ney.codes(np.frombuffer(text.encode(), dtype=np.uint8)).tobytes()
+        for i in range(len(padded) - 5):
+            want.setdefault(int.from_bytes(padded[i : i + 6], "big"), [0, 0])[1 - y] += 1
+    got = {r.gram: [r.yes, r.no] for r in kneser_ney.count(spark.createDataFrame(texts, "text string, label int").repartition(2)).collect()}
+    assert got == want
